@@ -45,6 +45,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         *own, "n_symbols", "n_upper", "n_exclaim", "n_digits",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(F.filter("_words", lambda w, i: w.eqNullSafe(F.get("_words", i - 1)))).cast("long").alias("n_stutters"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         spans.alias("_spans"),
@@ -71,7 +72,7 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
 
 
-STATISTICS = ("n_symbols", "n_upper", "n_exclaim", "n_digits", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words")
+STATISTICS = ("n_symbols", "n_upper", "n_exclaim", "n_digits", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 
 #: Features of the decision list: name -> (numerator, denominator); a denominator of 0 gives 0.
 FEATURES = {
@@ -82,6 +83,7 @@ FEATURES = {
     "word_length": ("word_chars", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
+    "stutter_share": ("n_stutters", "n_words"),
     "words": ("n_words", None),
 }
 
