@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from runledger.llm.quality import op8_query
+from runledger.llm.sharding import op1_query
+from runledger.llm.url_filters import OP2_SQL, op2_query
 
 QUERIES = {
+    "op1_kk_sharding": op1_query,
+    "op2_url_filters": op2_query,
     "op8_quality_rules": op8_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": OP2_SQL,
+}
