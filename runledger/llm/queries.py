@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runledger.llm.line_dedup import OP5_SQL, op5_query
+from runledger.llm.packing import op6_query
 from runledger.llm.quality import op8_query
 from runledger.llm.sharding import op1_query
 from runledger.llm.url_filters import OP2_SQL, op2_query
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_kk_sharding": op1_query,
     "op2_url_filters": op2_query,
     "op5_line_dedup": op5_query,
+    "op6_sum_of_squares_packing": op6_query,
     "op8_quality_rules": op8_query,
 }
 
