@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from runledger.llm.decontam import op3_query
+from runledger.llm.langid import op9_query
 from runledger.llm.line_dedup import OP5_SQL, op5_query
 from runledger.llm.packing import op6_query
 from runledger.llm.quality import op8_query
@@ -11,12 +13,15 @@ from runledger.llm.url_filters import OP2_SQL, op2_query
 QUERIES = {
     "op1_kk_sharding": op1_query,
     "op2_url_filters": op2_query,
+    "op3_greedy_tiling": op3_query,
     "op5_line_dedup": op5_query,
     "op6_sum_of_squares_packing": op6_query,
     "op8_quality_rules": op8_query,
+    "op9_language_id": op9_query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
+    "op3_greedy_tiling": op3_query,
     "op5_line_dedup": OP5_SQL,
 }
