@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from runledger.llm.decontam import op3_query
+from runledger.llm.html_text import op10_query
 from runledger.llm.langid import op9_query
 from runledger.llm.line_dedup import OP5_SQL, op5_query
 from runledger.llm.packing import op6_query
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_sum_of_squares_packing": op6_query,
     "op8_quality_rules": op8_query,
     "op9_language_id": op9_query,
+    "op10_consensus_paths": op10_query,
 }
 
 ORACLES: dict[str, str] = {
