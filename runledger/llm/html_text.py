@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,10 +44,12 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]),
 }
+OUTER = frozenset("body html div article main section".split())
 SCOPES = frozenset("table td th ul ol dl body html".split())
 DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[^a-z]+")
-SPACES = re.compile(r"[ \t\n\r\f\v]+")
+#: Attributes that can mark an inline element as boilerplate.
+MARKS = re.compile(r"class|id|role|hidden|style", re.I)
 PARTS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -57,6 +60,7 @@ class Element:
         self.tag, self.path, self.boiler, self.parent, self.in_link, self.inside = tag, path, boiler, parent, in_link, inside
 
 
+@lru_cache(1 << 14)
 def _describe(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     """The generalised step of a path, and whether the element is boilerplate."""
     if not attrs or attrs.isspace():
@@ -79,81 +83,87 @@ def _describe(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
 
 
 def blocks(page: str) -> Iterator[tuple[str, Element]]:
-    """(text, innermost block element) of the page's blocks in order, boilerplate left out; white space is single."""
+    """(text, innermost block element) of the page's blocks in order, boilerplate left out; white space is single,
+    text that follows an unclosed inline element counts for the block around it."""
     root = Element("#", "", False, None, False, False)
     stack, text, at, owner = [root], [], 0, root
 
     def flush():
-        joined = SPACES.sub(" ", "".join(text)).strip(" ") if text else ""
+        joined = " ".join("".join(text).split())
         text.clear()
         return joined
 
-    length = len(page)
-    while at <= length:
-        m = TOKEN.search(page, at)
+    length, search, unescape = len(page), TOKEN.search, html.unescape
+    while True:
+        m = search(page, at)
         top = stack[-1]
-        chunk = page[at : m.start()] if m else page[at:]
-        if chunk and not top.boiler:
-            text.append(html.unescape(chunk) if "&" in chunk else chunk)
+        if not top.boiler:
+            chunk = page[at : m.start()] if m else page[at:]
+            if chunk:
+                text.append(unescape(chunk) if "&" in chunk else chunk)
         if not m:
             break
         at = m.end()
-        if m["cdata"] is not None:
-            if not top.boiler:
-                text.append(m["cdata"])
-            continue
-        tag = m["tag"]
+        cdata, end, tag, attrs = m.groups()
         if not tag:
+            if cdata and not top.boiler:
+                text.append(cdata)
             continue
         tag = tag.lower()
-        if m["end"]:
-            if tag == "br":
-                if not top.boiler:
-                    text.append(" ")
+        if tag in INLINE:
+            if end:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k:]
+                        break
+                    if stack[k].tag not in INLINE:
+                        break
                 continue
+            if tag in VOID:
+                continue
+            boiler = top.boiler or (bool(attrs) and MARKS.search(attrs) is not None and _describe(tag, attrs, top.inside)[1])
+            stack.append(Element(tag, top.path, boiler, top, top.in_link or tag == "a", top.inside))
+            continue
+        if tag == "br":
+            if not top.boiler:
+                text.append(" ")
+            continue
+        if end:
             k = len(stack) - 1
-            while k and stack[k].tag != tag and not (stack[k].tag in SCOPES and tag not in SCOPES and tag not in ("body", "html", "div", "article", "main", "section")):
+            while k and stack[k].tag != tag and (stack[k].tag not in SCOPES or tag in SCOPES or tag in OUTER):
                 k -= 1
             if not k or stack[k].tag != tag:
                 continue
-            if tag not in INLINE and (own := flush()):
+            if text and (own := flush()):
                 yield own, owner
             del stack[k:]
-            if tag not in INLINE:
-                owner = _block_of(stack[-1])
+            owner = _block_of(stack[-1])
             continue
         if tag in RAW:
             m = RAW[tag].search(page, at)
-            at = m.end() if m else length
             if not m:
                 break
-            continue
-        if tag == "br":
-            if not top.boiler:
-                text.append(" ")
+            at = m.end()
             continue
         if tag in VOID and tag != "hr":
             continue
-        if tag not in INLINE:
-            if own := flush():
-                yield own, owner
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = stack[k].tag
-                if open_tag in CLOSES and tag in CLOSES[open_tag]:
-                    del stack[k:]
-                    break
-                if open_tag not in INLINE and open_tag not in CLOSES or open_tag in SCOPES:
-                    break
-        if tag in VOID:
+        if text and (own := flush()):
+            yield own, owner
+        for k in range(len(stack) - 1, 0, -1):
+            open_tag = stack[k].tag
+            if open_tag in CLOSES and tag in CLOSES[open_tag]:
+                del stack[k:]
+                break
+            if open_tag not in INLINE and open_tag not in CLOSES or open_tag in SCOPES:
+                break
+        owner = up = stack[-1]
+        if tag == "hr":
+            owner = _block_of(up)
             continue
-        up = stack[-1]
-        step, boiler = _describe(tag, m["attrs"], up.inside)
-        new = Element(tag, up.path if tag in INLINE else f"{up.path}>{step}", up.boiler or boiler, up, up.in_link or tag == "a", up.inside or tag in ("article", "main"))
-        if not m["attrs"].endswith("/") or tag not in ("svg", "path", "g"):
-            stack.append(new)
-        if tag not in INLINE:
-            owner = new
-    if own := flush():
+        step, boiler = _describe(tag, attrs, up.inside) if attrs else (tag, tag in BOILER_TAGS or (tag == "header" and not up.inside))
+        owner = Element(tag, f"{up.path}>{step}", up.boiler or boiler, up, up.in_link, up.inside or tag == "article" or tag == "main")
+        stack.append(owner)
+    if text and (own := flush()):
         yield own, owner
 
 
@@ -171,16 +181,20 @@ def _container(e: Element | None) -> Element | None:
 
 def scores(found: list[tuple[str, Element]]) -> list[tuple[float, str]]:
     """Containers by score: a block's characters count for its container, and half for the container above."""
+    held: dict[int, list] = {}
+    for own, e in found:  # the blocks of one element and its like elements share a parent and a weight
+        share = 0.4 if e.in_link or e.tag in ("li", "dt", "dd") else 1.0
+        up = e if e.tag in CONTAINERS else e.parent
+        held.setdefault(id(up), [up, 0.0])[1] += share * len(own)
     points: dict[int, float] = {}
     elements: dict[int, Element] = {}
-    for own, e in found:
-        share = 1.0 if not e.in_link and e.tag not in ("li", "dt", "dd") else 0.4
+    for e, size in held.values():
         for weight in (1.0, 0.5):
             e = _container(e)
             if e is None:
                 break
             elements[id(e)] = e
-            points[id(e)] = points.get(id(e), 0.0) + weight * share * len(own)
+            points[id(e)] = points.get(id(e), 0.0) + weight * size
             e = e.parent
     bonus = lambda e: 1.3 if e.tag in ("article", "main") or GOOD_NAMES & set(SPLIT.split(e.path.rpartition(">")[2].lower())) - {e.tag} else 1.0
     ranked = [(points[k] * bonus(e), e.path) for k, e in elements.items()]
@@ -193,8 +207,14 @@ def main_text(page: str, path: str | None) -> str:
     ranked = scores(found)
 
     def within(path: str) -> list[str]:
-        below = f"{path}>"
-        return [own for own, e in found if e.path == path or e.path.startswith(below)]
+        below, inside = f"{path}>", {}
+        out = []
+        for own, e in found:
+            if (hit := inside.get(e.path)) is None:
+                hit = inside[e.path] = e.path == path or e.path.startswith(below)
+            if hit:
+                out.append(own)
+        return out
 
     own = within(path) if path else []
     if not own and ranked:
