@@ -6,6 +6,7 @@ from runledger.llm.decontam import op3_query
 from runledger.llm.html_text import op10_query
 from runledger.llm.langid import op9_query
 from runledger.llm.line_dedup import OP5_SQL, op5_query
+from runledger.llm.near_dup import op4_query
 from runledger.llm.packing import op6_query
 from runledger.llm.quality import op8_query
 from runledger.llm.sharding import op1_query
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_kk_sharding": op1_query,
     "op2_url_filters": op2_query,
     "op3_greedy_tiling": op3_query,
+    "op4_tensored_minhash": op4_query,
     "op5_line_dedup": op5_query,
     "op6_sum_of_squares_packing": op6_query,
     "op8_quality_rules": op8_query,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
     "op3_greedy_tiling": op3_query,
+    "op4_tensored_minhash": op4_query,
     "op5_line_dedup": OP5_SQL,
 }
