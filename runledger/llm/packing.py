@@ -178,7 +178,7 @@ def _pack_chunk(capacity: int):
         order = packing_order(pdf["length"].to_numpy(), capacity)
         bins, offsets = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         bins[order], offsets[order] = sum_of_squares(pdf["length"].to_numpy()[order], capacity)
-        pdf["sequence_id"], pdf["offset"] = (pdf["chunk"].astype("int64") << 32) + bins, offsets
+        pdf["sequence_id"], pdf["offset"] = pdf["chunk"].to_numpy().astype(np.int64) * (1 << 32) + bins, offsets
         return pdf.drop(columns=["h", "chunk"])
 
     return run
