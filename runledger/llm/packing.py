@@ -108,24 +108,23 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of every item, placed in the given order.
 
     Putting an item into a bin of gap g with n(g) such bins changes the sum of squares by
-    2 * (n(g - item) - n(g)) + 2, without the first term for a bin it fills; a new bin by 2 * n(capacity - item) + 1,
-    or by nothing if the item fills it. Ties go to the smallest gap, and to an open bin before a new one.
+    2 * (n(g - item) - n(g)) + 2, or by 1 - 2 * n(g) for a bin it fills. Ties go to the smallest gap. A new bin is
+    opened only where no open one has room: on a finite table a bin opened for the sake of the sum stays unfilled.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins, offsets, made = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    bins, offsets, made, never = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, np.iinfo(np.int64).max
     for k, size in enumerate(lengths.tolist()):
         if size >= capacity:
             bins[k], made = made, made + 1
             continue
         left = count[: capacity - size].copy()
         left[0] = 0
-        change = np.where(count[size:capacity] > 0, 2 * (left - count[size:capacity]) + 2, np.iinfo(np.int64).max)
+        change = np.where(count[size:capacity] > 0, 2 * (left - count[size:capacity]) + 2, never)
         if count[size]:
             change[0] = 1 - 2 * count[size]
         best = int(change.argmin())
-        new = 2 * count[capacity - size] + 1
-        if change[best] <= new:
+        if change[best] < never:
             gap = best + size
             bin_no = open_bins[gap].pop()
             count[gap] -= 1
