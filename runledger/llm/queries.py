@@ -11,6 +11,7 @@ from runledger.llm.packing import op6_query
 from runledger.llm.quality import op8_query
 from runledger.llm.sharding import op1_query
 from runledger.llm.url_filters import OP2_SQL, op2_query
+from runledger.llm.warc import OP7_SQL, op7_query
 
 QUERIES = {
     "op1_kk_sharding": op1_query,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_tensored_minhash": op4_query,
     "op5_line_dedup": op5_query,
     "op6_sum_of_squares_packing": op6_query,
+    "op7_capture_index": op7_query,
     "op8_quality_rules": op8_query,
     "op9_language_id": op9_query,
     "op10_consensus_paths": op10_query,
@@ -29,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op3_greedy_tiling": op3_query,
     "op4_tensored_minhash": op4_query,
     "op5_line_dedup": OP5_SQL,
+    "op7_capture_index": OP7_SQL,
 }
