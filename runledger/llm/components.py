@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from runledger.llm.scratch import Scratch
 
 
+#: Rows for a task of a written table; a round over few edges is not spread over every shuffle partition.
+TASK_ROWS = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
@@ -15,22 +19,29 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label) of every node of ``edges`` (u, v); the label is the smallest node of the component.
 
-    Each star joins edges to the smallest neighbour of a node. Those minima are combined before the shuffle and
-    written, so that a node of very many edges is one row on one side and split by adaptive execution on the other.
+    ``edges`` should be a written table: it is read twice. Each star joins edges to the smallest neighbour of
+    a node. Those minima are combined before the shuffle and written, so that a node of very many edges is one
+    row on one side and split by adaptive execution on the other.
     """
-    edges = scratch.write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    tasks = -(-edges.count() // TASK_ROWS)
+    if not tasks:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+    def write(df: DataFrame, at: str) -> DataFrame:
+        return scratch.write(df.coalesce(tasks), f"{name}-{at}")
+
+    edges = write(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
     before, n = _state(edges), 0
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{n}-large-min")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.write(large.filter("u <> v").distinct(), f"{name}-{n}-large")
-        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{n}-small-min")
+        least = write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{n}-large-min")
+        large = write(both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{n}-large")
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")), f"{n}-small-min")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = scratch.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), f"{name}-{n + 1}")
-        scratch.drop(f"{name}-{n}", f"{name}-{n}-large-min", f"{name}-{n}-large", f"{name}-{n}-small-min")
+        after = write(small.distinct(), str(n + 1))
+        now = _state(after)
+        scratch.drop(*(f"{name}-{x}" for x in (n, f"{n}-large-min", f"{n}-large", f"{n}-small-min")))
         edges, n = after, n + 1
-        now = _state(edges)
         if now == before:
             break
         before = now

@@ -245,7 +245,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     links = small.groupBy("chunk").applyInPandas(_link_chunk(shingle, percent), f"u {kind}, v {kind}")
     edges = scratch.write(links, "links")
     large = members.filter(F.col("size") > task_shingles).select("comp", "key", "text")
-    for found in _large_links(large, coarse, sizes, scratch, shingle, percent, task_shingles, query_shingles, kind):
+    more = list(_large_links(large, coarse, sizes, scratch, shingle, percent, task_shingles, query_shingles, kind))
+    for found in more:
         edges = edges.unionByName(found)
     labels = scratch.write(connected_components(edges, scratch, "fine"), "labels")
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("label", "rep").alias("comp"))
@@ -297,3 +298,9 @@ def _query_blocks(large: DataFrame, queries: DataFrame, most: int, scratch: Scra
 def op4_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, shingle=3, percent=85)
+
+
+def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one document of each component, that of the smallest key; rows of null key stay."""
+    gone = near_duplicates(df, key, text, shingle, percent).filter("not kept").select(F.col(f"`{key}`").alias("_rl_gone")).distinct()
+    return df.join(gone, F.col(f"`{key}`") == F.col("_rl_gone"), "left_anti")

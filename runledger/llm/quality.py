@@ -217,6 +217,13 @@ def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
     return with_stats.withColumn("base_failed", failed).withColumn("rule_no", decision(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule_no") == 0))
 
 
+def keep_good(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``apply_rules`` keeps, unchanged."""
+    # The row mark keeps the filter above the statistics: pushed below them, it would compute them once for each use.
+    judged = apply_rules(df, rules, text).withColumn("_rl_row", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_rl_row") >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def rules_from_tables(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Rules from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality); one label a document, the smallest."""
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality is not null")
