@@ -9,7 +9,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,9 +59,19 @@ class Element:
         self.tag, self.path, self.boiler, self.parent, self.in_link, self.inside = tag, path, boiler, parent, in_link, inside
 
 
-@lru_cache(1 << 14)
+_described: dict[tuple, tuple[str, bool]] = {}
+
+
 def _describe(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
-    """The generalised step of a path, and whether the element is boilerplate."""
+    """The generalised step of a path, and whether the element is boilerplate; the last few thousand answers are kept."""
+    if (found := _described.get((tag, attrs, inside))) is None:
+        if len(_described) > 1 << 14:
+            _described.clear()
+        found = _described[tag, attrs, inside] = _described_anew(tag, attrs, inside)
+    return found
+
+
+def _described_anew(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     if not attrs or attrs.isspace():
         return tag, tag in BOILER_TAGS or (tag == "header" and not inside)
     found = {}
