@@ -494,3 +494,176 @@ def g_missing_markers(spark, d):
 @query("g_histogram", f"{EVC}, l as (select session_id, field, min(num) as lo, max(num) as hi from cells where num is not null group by all), b as (select c.*, lo, hi, case when hi > lo then least(9, floor((num - lo) / ((hi - lo) / 10))) else 0 end as bin from cells c join l using (session_id, field) where num is not null) select session_id, field, cast(bin as integer) as bin, {sig('lo + bin * ((hi - lo) / 10)')} as low, {sig('lo + (bin + 1) * ((hi - lo) / 10)')} as high, count(*) as count from b group by session_id, field, bin, lo, hi")
 def g_histogram(spark, d):
     return rounded(down.histogram(cells_of(events(spark, d), EV_FIELDS)), "low", "high")
+
+
+WORDS = r"words as (select doc_id, w from (select doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) as w from documents))"
+COERCE = """case when w = '' then 'null' when w in ('true', 'false') then 'bool' when regexp_full_match(w, '-?(0|[1-9][0-9]*)') then 'int'
+ when regexp_full_match(w, '-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?') then 'float' else 'str' end"""
+
+
+def _words(spark, d) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return docs.select("doc_id", F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("w"))
+
+
+@query("s_scalar_coercion", f"with {WORDS} select doc_id, {COERCE} as kind, count(*) as n, {sig(f"sum(case when ({COERCE}) = 'float' or (({COERCE}) = 'int' and abs(try_cast(w as hugeint)) <= 9007199254740992) then try_cast(w as double) end)")} as total from words group by doc_id, kind")
+def s_scalar_coercion(spark, d):
+    parts = scalars.coerce(F.col("w"))
+    cells = _words(spark, d).select("doc_id", parts["kind"].alias("kind"), parts["num"].alias("num"))
+    return rounded(cells.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum("num").alias("total")), "total")
+
+
+@query("p_temporal", f"with {EV} select session_id, count(*) filter (record_index % 3 = 0) as zoned, count(*) filter (record_index % 3 = 1) as numeric, count(*) filter (record_index % 3 = 2) as naive, cast(sum(case when record_index % 3 = 0 then epoch_us(time_bucket(interval '1 second', to_timestamp(t)::timestamp)) // 1000000 - 7200 when record_index % 3 = 1 then event_id end) as double) as total from ev group by session_id")
+def p_temporal(spark, d):
+    """Times with an offset, numbers, and times without one, which are no times."""
+    rows = events(spark, d)
+    whole = F.floor("t").cast("long")
+    stamp = F.concat_ws("", F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(whole / 86400).cast("int")), "yyyy-MM-dd"), F.lit("T"), F.lpad(F.floor(whole % 86400 / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(whole % 3600 / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    third = F.col("record_index") % 3
+    text = F.when(third == 0, F.concat(stamp, F.lit("+02:00"))).when(third == 1, F.col("event_id").cast("string")).otherwise(stamp)
+    at = scalars.temporal(F.when(third == 1, "int").otherwise("str"), text, F.when(third == 1, F.col("event_id").cast("double")))
+    found = rows.select("session_id", third.alias("third"), at.alias("at"))
+    return found.groupBy("session_id").agg(F.count_if((F.col("third") == 0) & F.col("at").isNotNull()).alias("zoned"), F.count_if((F.col("third") == 1) & F.col("at").isNotNull()).alias("numeric"), F.count_if((F.col("third") == 2) & F.col("at").isNull()).alias("naive"), F.sum("at").alias("total"))
+
+
+@query("f_csv_safe", f"with {WORDS} select doc_id, count(*) filter (regexp_matches(w, '^[ \\t\\r\\n\\f\\v]*[=+@-]')) as formulas, sum(length(case when regexp_matches(w, '^[ \\t\\r\\n\\f\\v]*[=+@-]') then chr(39) || w else w end))::bigint as chars from words group by doc_id")
+def f_csv_safe(spark, d):
+    w = F.col("w")
+    return _words(spark, d).groupBy("doc_id").agg(F.count_if(scalars.csv_safe(w) != w).alias("formulas"), F.sum(F.length(scalars.csv_safe(w))).alias("chars"))
+
+
+@query("f_markdown_safe", r"""select doc_id, sha256(regexp_replace(replace(replace(replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+\-.!|])', '\\\1', 'g')) as digest from documents""")
+def f_markdown_safe(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(scalars.markdown_safe(F.col("text")), 256).alias("digest"))
+
+
+@query("f_sha256", "select doc_id, sha256(text) as digest from documents")
+def f_sha256(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("o_findings_order", _or_parts())
+def o_findings_order(spark, d):
+    return q_all_findings(spark, d)
+
+
+@query("x07_replay_delays", f"with {OR}, d as (select session_id, record_index, case when record_index % 7 <> 3 then t end as t from od), l as (select *, last_value(t ignore nulls) over (partition by session_id order by record_index rows between unbounded preceding and 1 preceding) as before from d) select session_id, record_index, {sig('greatest(0, coalesce((t - before) / 2, 0))')} as delay_s from l")
+def x07_replay_delays(spark, d):
+    """Pauses before records at double speed; records without a time wait for nothing."""
+    from runledger.operators.replay import replay_delays
+
+    rows = orders(spark, d).withColumn("t", F.when(F.col("record_index") % 7 != 3, F.col("t")))
+    return rounded(replay_delays(rows, 2.0).select("session_id", "record_index", "delay_s"), "delay_s")
+
+
+def _generated(profile: str, **how):
+    def run(spark, d):
+        from runledger.sources.generate import generate
+
+        made = generate(spark, profile, duration=100.0, **how)
+        floats = [c for c, t in made.dtypes if t == "double"]
+        return rounded(made, *floats)
+
+    return run
+
+
+GEN_SQL = {
+    "sine": "sin(2 * pi() * t) as value", "noisy-sensor": "20 + sin(t) as value", "frozen-sensor": "case when t between 35 and 70 then 20.0 else 20 + sin(t) end as value",
+    "pid-response": "1.0::double as target, 1 - exp(-t) * (cos(2 * t) + 0.2 * sin(2 * t)) as response, exp(-t) * (cos(2 * t) + 0.2 * sin(2 * t)) as error",
+    "motor-speed": "1500.0::double as target_rpm, 1500 * (1 - exp(-t / 1.5)) as speed_rpm, 2 + 8 * exp(-t) as current_a", "battery-drain": "4.2 - 1.2 * t / 100 as voltage_v, 0.5::double as current_a",
+    "network-latency": "i as sequence, 20.0::double as latency_ms, 1024::bigint as bytes",
+}
+for _profile in ("sine", "noisy-sensor", "frozen-sensor", "missing-samples", "duplicate-samples", "pid-response", "motor-speed", "battery-drain", "network-latency", "packet-loss"):
+    _name = f"gen_{_profile.replace('-', '_')}"
+    QUERIES[_name] = _generated(_profile)
+    if _profile in GEN_SQL and _profile not in ("sine", "pid-response"):  # values near a zero have no nine digits in common
+        _cols = [x.rsplit(" as ", 1)[1] for x in GEN_SQL[_profile].split(", ") if " as " in x]
+        _out = ", ".join(c if c in ("sequence", "bytes") else f"{sig(c)} as {c}" for c in ["timestamp", *_cols])
+        ORACLES[_name] = f"select i as record_index, {_out} from (select i, t as timestamp, {GEN_SQL[_profile]} from (select i, i / 10.0 as t from range(1001) x(i)))"
+
+
+def _text_query(kind: str, line, pairs: str):
+    """Cells parsed from lines that are made of events, against the values they were made of."""
+
+    def run(spark, d):
+        from runledger.sources.text import cells_from, parse_table, records_of
+
+        rows = events(spark, d)
+        lines = rows.select("session_id", F.lit("events").alias("file"), F.lit(0).cast("long").alias("block"), F.col("record_index").alias("row"), line.alias("value"))
+        cells = cells_from(records_of(parse_table(lines, kind)))
+        found = cells.groupBy("session_id", "field", "kind").agg(F.count("*").alias("n"), F.sum("num").alias("total"))
+        return rounded(found, "total")
+
+    sql = f"with {EV}, c as (select session_id, unnest([{pairs}]) as p from ev) select session_id, p.field as field, p.kind as kind, count(*) as n, {sig('sum(p.num)')} as total from c group by all"
+    return run, sql
+
+
+_E, _U, _T = (F.col(c).cast("string") for c in ("event_id", "user_id", "session_id"))
+
+
+def _pairs(*fields: tuple[str, str, str]) -> str:
+    return ", ".join(f"{{'field': '{a}', 'kind': '{b}', 'num': {c}}}" for a, b, c in fields)
+
+
+_E_NUM, _U_NUM, _NONE = "cast(event_id as double)", "cast(user_id as double)", "cast(null as double)"
+for _name, _line, _fields in (
+    ("jsonl", F.concat(F.lit('{"e":'), _E, F.lit(',"u":"'), _U, F.lit('","n":null,"deep":[1,{"a":2.0}],"ok":true}')), _pairs(("e", "int", _E_NUM), ("u", "str", _NONE), ("n", "null", _NONE), ("deep", "list", _NONE), ("ok", "bool", _NONE))),
+    ("keyvalue", F.concat(F.lit("e="), _E, F.lit(" u='"), _U, F.lit("' type=\"a "), _T, F.lit("\" none= f=0.5")), _pairs(("e", "int", _E_NUM), ("u", "int", _U_NUM), ("type", "str", _NONE), ("none", "null", _NONE), ("f", "float", "0.5::double"))),
+    ("whitespace", F.concat(_E, F.lit("  "), _U, F.lit("\t"), _T, F.lit(" 007")), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "str", _NONE))),
+    ("stream", F.concat(_E, F.lit(", "), _U, F.lit(',"a ""b"", c",')), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "null", _NONE))),
+):
+    QUERIES[f"s_{_name}"], ORACLES[f"s_{_name}"] = _text_query(_name, _line, _fields)
+
+
+@query("s_rejects", f"with {EV} select session_id, case when record_index % 9 = 0 then 'empty line' when record_index % 9 = 1 then 'record must be a JSON object' when record_index % 9 = 2 then 'duplicate JSON key: a' when record_index % 9 = 3 then 'non-finite JSON number: NaN' else 'record has 2 fields; at most 1 are allowed' end as reason, count(*) as n from ev where record_index % 9 < 5 group by all")
+def s_rejects(spark, d):
+    """Each kind of broken line is kept with its reason."""
+    from runledger.sources.text import parse_table, rejects_of
+
+    k = F.col("record_index") % 9
+    line = F.when(k == 0, "  ").when(k == 1, "[1]").when(k == 2, '{"a":1,"a":2}').when(k == 3, '{"a":NaN}').when(k == 4, '{"a":1,"b":2}').otherwise('{"a":1}')
+    lines = events(spark, d).select("session_id", F.lit("events").alias("file"), F.lit(0).cast("long").alias("block"), F.col("record_index").alias("row"), line.alias("value"))
+    return rejects_of(parse_table(lines, "jsonl", max_fields=1)).groupBy("session_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("s_csv_document", "select 'document' as session_id, 'x' as field, 'int' as kind, count(*) as n, cast(sum(event_id) as double) as total from events union all select 'document', 'y', 'str', count(*), null from events")
+def s_csv_document(spark, d):
+    """One CSV text of all events, with line ends inside quotes, written and read as a file."""
+    from runledger.plans.inspect import scratch_text
+    from runledger.sources.text import cells_from, parse_source, records_of
+
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat_ws("", F.col("event_id").cast("string"), F.lit(',"'), "event_type", F.lit('\nline two"')).alias("value"))
+    path = scratch_text(spark, rows.select("value").unionByName(spark.createDataFrame([("x,y",)], "value string")).orderBy(F.col("value") != "x,y").coalesce(1), "csv-document")
+    cells = cells_from(records_of(parse_source(spark, path, "csv", "document")))
+    return rounded(cells.groupBy("session_id", "field", "kind").agg(F.count("*").alias("n"), F.sum("num").alias("total")))
+
+
+@query("s_detect")
+def s_detect(spark, d):
+    """The detected format of a written text of each line format."""
+    from runledger.plans.inspect import scratch_text
+    from runledger.sources.text import detect
+
+    lines = {"jsonl": '{"a":1}', "keyvalue": "a=1 b=two", "whitespace": "1 2.5 3", "csv": "a,b", "tsv": "a\tb"}
+    found = []
+    for kind, line in lines.items():
+        more = {"csv": "1,two", "tsv": "1\ttwo"}.get(kind, line)
+        found.append((kind, detect(spark, scratch_text(spark, spark.createDataFrame([(f"{line}\n{more}",)], "value string").coalesce(1), f"detect-{kind}"))))
+    return spark.createDataFrame(found, "format string, detected string")
+
+
+@query("st_stream_equals_batch", f"with {EV} select session_id, count(*) as n, cast(sum(event_id) as double) as total, 0::bigint as differing from ev group by session_id")
+def st_stream_equals_batch(spark, d):
+    """Events as text files, captured by a stream and read in one batch: the same records either way."""
+    from runledger.plans.inspect import scratch_text
+    from runledger.sources.text import parse_source, records_of
+    from runledger.streaming.capture import capture
+
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    path = scratch_text(spark, rows, "stream-input")
+    landed = capture(spark, path, "jsonl", "live")
+    batch = records_of(parse_source(spark, path, "jsonl", "live"))
+    both = landed.select("payload").withColumn("s", F.lit(1)).unionByName(batch.select("payload").withColumn("s", F.lit(-1)))
+    one = both.groupBy("payload").agg(F.sum("s").alias("d"), F.sum(F.greatest("s", F.lit(0))).alias("c"))
+    e = F.get_json_object("payload", "$.event_id").cast("double")
+    return one.groupBy(F.get_json_object("payload", "$.event_type").alias("session_id")).agg(F.sum("c").cast("long").alias("n"), F.sum(e).alias("total"), F.sum(F.abs("d")).cast("long").alias("differing"))
