@@ -47,28 +47,29 @@ def _rows(df: DataFrame, check: str, n: Column, span: Column, evidence: dict[str
     )
 
 
-WHOLE = F.lit("dataset")
+def _whole() -> Column:
+    return F.lit("dataset")
 
 
 def empty_data(sessions: DataFrame, records: DataFrame) -> DataFrame:
     """``sessions`` (session_id) without a record."""
     none = sessions.select("session_id").distinct().join(records.select("session_id").distinct(), "session_id", "left_anti")
-    return _rows(none, "empty-data", F.lit(0), WHOLE, {"records": F.lit(0)})
+    return _rows(none, "empty-data", F.lit(0), _whole(), {"records": F.lit(0)})
 
 
 def duplicate_rows(records: DataFrame) -> DataFrame:
     again = records.groupBy("session_id", "payload").count().filter("count > 1").groupBy("session_id").agg(F.sum(F.col("count") - 1).alias("n"))
-    return _rows(again, "duplicate-rows", F.col("n"), WHOLE, {"duplicates": F.col("n")})
+    return _rows(again, "duplicate-rows", F.col("n"), _whole(), {"duplicates": F.col("n")})
 
 
 def shape_change(records: DataFrame) -> DataFrame:
     shapes = records.groupBy("session_id").agg(F.array_sort(F.collect_set(F.to_json("schema_key"))).alias("shapes")).filter("size(shapes) > 1")
-    return _rows(shapes, "record-shape-change", F.size("shapes"), WHOLE, {"shapes": F.col("shapes")})
+    return _rows(shapes, "record-shape-change", F.size("shapes"), _whole(), {"shapes": F.col("shapes")})
 
 
 def length_change(records: DataFrame) -> DataFrame:
     sizes = records.groupBy("session_id").agg(F.array_sort(F.collect_set("field_count")).alias("lengths")).filter("size(lengths) > 1")
-    return _rows(sizes, "record-length-change", F.size("lengths"), WHOLE, {"lengths": F.col("lengths")})
+    return _rows(sizes, "record-length-change", F.size("lengths"), _whole(), {"lengths": F.col("lengths")})
 
 
 def missing_values(cells: DataFrame, records: DataFrame) -> DataFrame:

@@ -589,7 +589,7 @@ def _text_query(kind: str, line, pairs: str):
         from runledger.sources.text import cells_from, parse_table, records_of
 
         rows = events(spark, d)
-        lines = rows.select("session_id", F.lit("events").alias("file"), F.lit(0).cast("long").alias("block"), F.col("record_index").alias("row"), line.alias("value"))
+        lines = rows.select("session_id", F.lit("events").alias("file"), F.lit(0).cast("long").alias("block"), F.col("record_index").alias("row"), line().alias("value"))
         cells = cells_from(records_of(parse_table(lines, kind)))
         found = cells.groupBy("session_id", "field", "kind").agg(F.count("*").alias("n"), F.sum("num").alias("total"))
         return rounded(found, "total")
@@ -598,7 +598,9 @@ def _text_query(kind: str, line, pairs: str):
     return run, sql
 
 
-_E, _U, _T = (F.col(c).cast("string") for c in ("event_id", "user_id", "session_id"))
+def _text(*parts: str):
+    """A line from literals and, after an @, columns; made when a session is there."""
+    return lambda: F.concat(*[F.col(p[1:]).cast("string") if p[0] == "@" else F.lit(p) for p in parts])
 
 
 def _pairs(*fields: tuple[str, str, str]) -> str:
@@ -607,10 +609,10 @@ def _pairs(*fields: tuple[str, str, str]) -> str:
 
 _E_NUM, _U_NUM, _NONE = "cast(event_id as double)", "cast(user_id as double)", "cast(null as double)"
 for _name, _line, _fields in (
-    ("jsonl", F.concat(F.lit('{"e":'), _E, F.lit(',"u":"'), _U, F.lit('","n":null,"deep":[1,{"a":2.0}],"ok":true}')), _pairs(("e", "int", _E_NUM), ("u", "str", _NONE), ("n", "null", _NONE), ("deep", "list", _NONE), ("ok", "bool", _NONE))),
-    ("keyvalue", F.concat(F.lit("e="), _E, F.lit(" u='"), _U, F.lit("' type=\"a "), _T, F.lit("\" none= f=0.5")), _pairs(("e", "int", _E_NUM), ("u", "int", _U_NUM), ("type", "str", _NONE), ("none", "null", _NONE), ("f", "float", "0.5::double"))),
-    ("whitespace", F.concat(_E, F.lit("  "), _U, F.lit("\t"), _T, F.lit(" 007")), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "str", _NONE))),
-    ("stream", F.concat(_E, F.lit(", "), _U, F.lit(',"a ""b"", c",')), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "null", _NONE))),
+    ("jsonl", _text('{"e":', "@event_id", ',"u":"', "@user_id", '","n":null,"deep":[1,{"a":2.0}],"ok":true}'), _pairs(("e", "int", _E_NUM), ("u", "str", _NONE), ("n", "null", _NONE), ("deep", "list", _NONE), ("ok", "bool", _NONE))),
+    ("keyvalue", _text("e=", "@event_id", " u='", "@user_id", "' type=\"a ", "@session_id", '" none= f=0.5'), _pairs(("e", "int", _E_NUM), ("u", "int", _U_NUM), ("type", "str", _NONE), ("none", "null", _NONE), ("f", "float", "0.5::double"))),
+    ("whitespace", _text("@event_id", "  ", "@user_id", "\t", "@session_id", " 007"), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "str", _NONE))),
+    ("stream", _text("@event_id", ", ", "@user_id", ',"a ""b"", c",'), _pairs(("field_1", "int", _E_NUM), ("field_2", "int", _U_NUM), ("field_3", "str", _NONE), ("field_4", "null", _NONE))),
 ):
     QUERIES[f"s_{_name}"], ORACLES[f"s_{_name}"] = _text_query(_name, _line, _fields)
 
