@@ -79,7 +79,7 @@ def _described_anew(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
         found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     named = f"{found.get('class', '')} {found.get('id', '')}"
     classes = sorted(DIGITS.sub("#", c) for c in found.get("class", "").split())
-    step = tag if tag in ("html", "body") else tag + "".join(f".{c}" for c in classes)  # a body's classes describe the page
+    step = tag + "".join(f".{c}" for c in classes)
     if tag in BOILER_TAGS or (tag == "header" and not inside) or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return step, tag not in ("html", "body")
     if tag in SAFE_TAGS and tag != "p":
@@ -170,7 +170,8 @@ def blocks(page: str) -> Iterator[tuple[str, Element]]:
             owner = _block_of(up)
             continue
         step, boiler = _describe(tag, attrs, up.inside) if attrs else (tag, tag in BOILER_TAGS or (tag == "header" and not up.inside))
-        owner = Element(tag, f"{up.path}>{step}", up.boiler or boiler, up, up.in_link, up.inside or tag == "article" or tag == "main")
+        # html and body may be left out, and a body's classes describe the page: neither is a step.
+        owner = Element(tag, up.path if tag in ("html", "body") else f"{up.path}>{step}", up.boiler or boiler, up, up.in_link, up.inside or tag == "article" or tag == "main")
         stack.append(owner)
     if text and (own := flush()):
         yield own, owner
