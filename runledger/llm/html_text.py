@@ -31,8 +31,8 @@ CONTAINERS = frozenset("article body center content div main section story table
 BOILER_TAGS = frozenset("aside button datalist dialog fieldset footer form head menu nav object select svg template canvas audio video map math".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
 BOILER_NAMES = frozenset(
-    "ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer gdpr"
-    " header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended"
+    "ad ads adbox adsense advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies discussion disclaimer disqus feedback footer gdpr"
+    " header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup popular promo promoted promotion recommended"
     " related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar toc topbar widget widgets".split()
 )
 GOOD_NAMES = frozenset("article body content entry main page post story text".split())
