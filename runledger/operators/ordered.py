@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.operators.written import written
+
 BLOCK = 1_000_000
 
 
@@ -37,8 +39,11 @@ def following(df: DataFrame, keys: list[str], order: str, columns: list[str], na
 
 
 def with_index(df: DataFrame, keys: list[str], order: list[str], name: str = "record_index") -> DataFrame:
-    """A gapless number from 0 within ``keys``, by ``order`` (a total order): ranges are numbered by themselves, then moved on by counts."""
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    """A gapless number from 0 within ``keys``, by ``order`` (a total order): ranges are numbered by themselves, then moved on by counts.
+
+    The ranges are written first. Their bounds come from a sample, and rows and counts must not see two of them.
+    """
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
     counts = ranged.groupBy(*keys, "_part").count()
     moved = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
@@ -17,20 +16,12 @@ from runledger.operators.engineering import control_metrics, network_metrics
 from runledger.operators.findings import all_findings, in_order
 from runledger.operators.stats import numeric_summary
 from runledger.operators.timing import timing_metrics
+from runledger.operators.written import shared_dir
 from runledger.sources.text import cells_from, detect, parse_source, records_of, rejects_of
 
 ROLES = ("time", "target", "response", "sequence", "latency", "bytes")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='runledger-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_text(spark: SparkSession, lines: DataFrame, name: str) -> str:
     """Writes a table of one text column as text files and returns their folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.plans.inspect import shared_dir
+from runledger.operators.written import shared_dir
 from runledger.sources.parsers import LINE_FORMATS, MAX_FIELDS
 from runledger.sources.text import PARSED, _parse, records_of
 

@@ -125,3 +125,9 @@ def test_summary_against_plain_python(cells):
     assert got["mean"] == pytest.approx(mean, rel=1e-9)
     assert got.variance == pytest.approx(math.fsum((x - mean) ** 2 for x in xs) / 199, rel=1e-9)
     assert got.mean_absolute_difference == pytest.approx(math.fsum(abs(a - b) for a, b in zip(xs, xs[1:])) / 199, rel=1e-9)
+
+
+def test_index_does_not_depend_on_the_columns_read(spark):
+    df = spark.range(0, 300_000, 1, 6).select((F.col("id") % 3).alias("s"), F.xxhash64("id").alias("o"), F.col("id").cast("string").alias("x"))
+    got = with_index(df, ["s"], ["o"]).groupBy("s").agg(F.count("x").alias("n"), F.count_distinct("record_index").alias("d"), F.min("record_index").alias("a"), F.max("record_index").alias("z"))
+    assert all((r.n, r.a, r.z) == (r.d, 0, r.n - 1) for r in got.collect())
