@@ -126,17 +126,23 @@ def link_all(parts: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of all links between the sets.
 
     A link that joins two clusters has an end outside the largest cluster, so it is enough to compare
-    every set that is outside it, with all sets.
+    every set that is outside it, with all sets. Which cluster is largest may change on the way: sets that were
+    passed over wait, and are compared if they lie outside the one that is largest then, until all that wait lie in it.
     """
     held, forest = Sets(parts), Forest(len(parts))
-    largest = 0
-    for p in range(len(parts)):
-        if p and forest.root(p) == forest.root(largest):
-            continue
-        for q in held.like(parts[p], percent).tolist():
-            forest.join(p, q)
-        if forest.weight[forest.root(p)] > forest.weight[forest.root(largest)]:
-            largest = p
+    largest, waiting, compared = None, range(len(parts)), True
+    while compared:
+        passed, compared = [], False
+        for p in waiting:
+            if largest is not None and forest.root(p) == forest.root(largest):
+                passed.append(p)
+                continue
+            compared = True
+            for q in held.like(parts[p], percent).tolist():
+                forest.join(p, q)
+            if largest is None or forest.weight[forest.root(p)] > forest.weight[forest.root(largest)]:
+                largest = p
+        waiting = passed
     return forest.links
 
 

@@ -155,6 +155,35 @@ def brute_near(rows, k, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def test_links_of_chains_survive_a_change_of_the_largest_cluster():
+    from runledger.llm.near_dup import link_all
+
+    def components(n, links):
+        label = list(range(n))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+    def edited(s, r):
+        return set(r.sample(sorted(s), 60 - r.randrange(1, 5))) | {r.randrange(10**6, 10**9) for _ in range(4)}
+
+    # Links 0-1, 1-3, 2-3, 2-4: the largest cluster moves from {0, 1} to {2, 3, 4} when 1 has been passed over.
+    links = [(0, 1), (1, 3), (2, 3), (2, 4)]
+    sets = [{10**6 + k} | {x for e, link in enumerate(links) if k in link for x in range(100 * e, 100 * e + 10)} for k in range(5)]
+    parts = [np.array(sorted(s), np.uint64) for s in sets]
+    assert components(5, link_all(parts, 30)) == components(5, links) and len(components(5, links)) == 1
+
+    r = random.Random(3)
+    for n in (2, 4, 6, 9, 14, 25):
+        for _ in range(60):
+            sets = [{r.randrange(10**6) for _ in range(60)}]
+            for _ in range(n - 1):
+                sets.append(edited(sets[-1], r))
+            r.shuffle(sets)
+            links = [(a, b) for a in range(n) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+            assert components(n, link_all([np.array(sorted(s), np.uint64) for s in sets], 85)) == components(n, links)
+
+
 @pytest.mark.parametrize("large", [False, True])
 def test_near_duplicates(spark, large):
     from runledger.llm.near_dup import near_duplicates
