@@ -28,8 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
-    "op3_greedy_tiling": op3_query,
-    "op4_tensored_minhash": op4_query,
     "op5_line_dedup": OP5_SQL,
     "op7_capture_index": OP7_SQL,
 }
