@@ -31,8 +31,11 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     ``entries``: list_name, action (block or allow), kind (domain or prefix), pattern, change (add or
     remove), at (timestamp). Changes with a null in any of these are ignored. Of changes to one pattern at
     one moment a removal wins. valid_to is null while a pattern stays listed; repeated adds prolong nothing.
+    A prefix is the same with and without trailing slashes.
     """
     known = entries.select("list_name", "action", "kind", F.lower(F.trim("pattern")).alias("pattern"), "change", "at").dropna()
+    # As the paths of captures, prefixes lose trailing slashes: x.net/ads/ and x.net/ads are one pattern.
+    known = known.withColumn("pattern", F.when(F.col("kind") == "prefix", F.regexp_replace("pattern", "/+$", "")).otherwise(F.col("pattern")))
     known = known.filter(F.col("pattern") != "")
     one = known.groupBy("list_name", "action", "kind", "pattern", "at").agg(F.max((F.col("change") == "remove").cast("int")).alias("gone"))
     w = Window.partitionBy("list_name", "action", "kind", "pattern").orderBy("at")

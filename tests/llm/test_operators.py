@@ -81,6 +81,19 @@ def test_url_filters(spark):
     assert filter_captures(df.filter("false"), entries).collect() == [] and not any(r.blocked for r in filter_captures(df, entries.filter("false")).collect())
 
 
+def test_prefixes_with_trailing_slashes(spark):
+    from runledger.llm.url_filters import filter_captures
+
+    entries = spark.createDataFrame(
+        [("a", "block", "prefix", "x.net/Ads/ ", "add", "2024-01-01"), ("a", "block", "prefix", "x.net/ads", "remove", "2024-03-01"), ("b", "block", "prefix", "whole.org//", "add", "2024-01-01"), ("c", "block", "prefix", "/", "add", "2024-01-01")],
+        "list_name string, action string, kind string, pattern string, change string, at string",
+    ).withColumn("at", F.col("at").cast("timestamp"))
+    cases = [("http://x.net/ads/1", "2024-02-01", "x.net/ads"), ("http://x.net/ads/", "2024-02-01", "x.net/ads"), ("http://x.net/ads", "2024-02-01", "x.net/ads"), ("http://x.net/adsense", "2024-02-01", None), ("http://x.net/ads/1", "2024-03-01", None), ("http://whole.org", "2024-02-01", "whole.org"), ("http://whole.org/a/b", "2024-02-01", "whole.org")]
+    df = spark.createDataFrame(cases, "url string, fetched_at string, want string")
+    got = filter_captures(df, entries).collect()
+    assert len(got) == len(cases) and all(r.pattern == r.want and r.blocked == (r.want is not None) for r in got)
+
+
 # --- decontamination
 
 
