@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that tile less than half of every benchmark item."""
-    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Documents that tile less than half of every benchmark item and hold no item of 1 to 4 words in full."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Documents and test items meet on shared seeds, rolling Karp-Rabin hashes of ``seed`` words. Seeds in a row on
 one diagonal are a match; greedy tiling marks the longest unmarked match of a pair again and again, so that
-passages count whatever their order, and the share of the item's words that is tiled decides.
+passages count whatever their order, and the share of the item's words that is tiled decides. Items of fewer words
+than a seed can be matched as wholes.
 
 The benchmark is a stated query set: it is split into blocks of a bounded number of words, and each block is
 held against all documents in one pass without a shuffle.
@@ -36,26 +37,36 @@ def tokens(column: pa.Array):
         yield i, j, words(data[lo : offsets[j]], offsets[i : j + 1] - lo, PUNCT, None)
 
 
+class Seeds:
+    """Seeds of ``size`` words in hash order, with their items and places."""
+
+    def __init__(self, size: int, seeds: list, item: list, at: list):
+        self.size = size
+        seeds, item, at = (np.concatenate(x) if x else np.zeros(0, U) for x in (seeds, item, at))
+        order = np.lexsort((at, item, seeds))
+        self.seeds, self.item, self.at = seeds[order], item[order], at[order]
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.seeds & U(SIEVE - 1)).astype(np.int64)] = True
+
+
 class Block:
-    """Items' words, and their seeds in hash order."""
+    """Items' words and seeds; with ``whole``, an item of fewer words than a seed is one seed of its own length."""
 
-    def __init__(self, rows: list[tuple], seed: int):
+    def __init__(self, rows: list[tuple], seed: int, whole: bool = False):
         self.ids = [r[0] for r in rows]
         self.words: list[np.ndarray] = []
-        seeds, item, at = [], [], []
+        lists: dict[int, tuple] = {seed: ([], [], [])}
         for i, j, (_, hashed, _, before) in tokens(pa.array([r[1] for r in rows], pa.string())):
             for r in range(j - i):
                 own = hashed[before[r] : before[r + 1]]
                 self.words.append(own)
-                found, _ = shingles(own, np.array([0, len(own)]), seed, False)
+                size = len(own) if whole and 0 < len(own) < seed else seed
+                found, _ = shingles(own, np.array([0, len(own)]), size, False)
+                seeds, item, at = lists.setdefault(size, ([], [], []))
                 seeds.append(found)
                 item.append(np.full(len(found), i + r))
                 at.append(np.arange(len(found)))
-        seeds, item, at = (np.concatenate(x) if x else np.zeros(0, U) for x in (seeds, item, at))
-        order = np.lexsort((at, item, seeds))
-        self.seeds, self.item, self.at = seeds[order], item[order], at[order]
-        self.sieve = np.zeros(SIEVE, bool)
-        self.sieve[(self.seeds & U(SIEVE - 1)).astype(np.int64)] = True
+        self.tables = [t for t in (Seeds(size, *x) for size, x in lists.items()) if len(t.seeds)]
 
 
 def tile(item_at: np.ndarray, doc_at: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
@@ -92,34 +103,42 @@ def tile(item_at: np.ndarray, doc_at: np.ndarray, seed: int) -> list[tuple[int,
     return tiles
 
 
-def _matches(block: Block, column: pa.Array, seed: int):
+def _matches(block: Block, column: pa.Array):
     """(row, item number, tiles) of every pair that shares a seed."""
     for i, _, (_, hashed, _, before) in tokens(column):
-        found, row = shingles(hashed, before, seed, False)
-        if not len(found) or not len(block.seeds):
-            continue
-        first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(before) - seed + 1, 0))])
-        hit = np.flatnonzero(block.sieve[(found & U(SIEVE - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(block.seeds, found[hit], "left"), np.searchsorted(block.seeds, found[hit], "right")
-        hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        if not len(hit):
-            continue
-        at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        r, doc_at = np.repeat(row[hit], n), np.repeat(hit - first[row[hit]], n)
-        item, item_at = block.item[at], block.at[at]
-        order = np.lexsort((item, r))
-        r, item, item_at, doc_at = r[order], item[order], item_at[order], doc_at[order]
-        new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1])))
-        for s, e in zip(new, np.append(new[1:], len(r)), strict=True):
-            yield i + int(r[s]), int(item[s]), tile(item_at[s:e], doc_at[s:e], seed)
-
-
-def _pairs(shared, seed: int, least: float, item_type):
+        for table in block.tables:
+            for r, item, tiles in _hits(table, hashed, before):
+                yield i + r, item, tiles
+
+
+def _hits(table: Seeds, hashed: np.ndarray, before: np.ndarray):
+    """As ``_matches``, of the seeds of one size in a slice; rows count from the slice's first."""
+    seed = table.size
+    found, row = shingles(hashed, before, seed, False)
+    if not len(found):
+        return
+    first = np.concatenate([[0], np.cumsum(np.maximum(np.diff(before) - seed + 1, 0))])
+    hit = np.flatnonzero(table.sieve[(found & U(SIEVE - 1)).astype(np.int64)])
+    lo, hi = np.searchsorted(table.seeds, found[hit], "left"), np.searchsorted(table.seeds, found[hit], "right")
+    hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+    if not len(hit):
+        return
+    at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+    r, doc_at = np.repeat(row[hit], n), np.repeat(hit - first[row[hit]], n)
+    item, item_at = table.item[at], table.at[at]
+    order = np.lexsort((item, r))
+    r, item, item_at, doc_at = r[order], item[order], item_at[order], doc_at[order]
+    new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1])))
+    for s, e in zip(new, np.append(new[1:], len(r)), strict=True):
+        yield int(r[s]), int(item[s]), tile(item_at[s:e], doc_at[s:e], seed)
+
+
+def _pairs(shared, least: float, item_type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             row, item, covered, n, longest = [], [], [], [], []
-            for r, k, tiles in _matches(block, batch.column(1), seed):
+            for r, k, tiles in _matches(block, batch.column(1)):
                 total = sum(t[2] for t in tiles)
                 if total >= least * len(block.words[k]):
                     row.append(r)
@@ -135,12 +154,12 @@ def _pairs(shared, seed: int, least: float, item_type):
     return run
 
 
-def _clean(shared, seed: int, least: float, text: str):
+def _clean(shared, least: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for r, k, tiles in _matches(block, batch.column(text), seed):
+            for r, k, tiles in _matches(block, batch.column(text)):
                 if sum(t[2] for t in tiles) >= least * len(block.words[k]):
                     keep[r] = False
             yield batch.filter(pa.array(keep))
@@ -148,7 +167,7 @@ def _clean(shared, seed: int, least: float, text: str):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_key: str, text: str, seed: int, block_words: int):
+def _blocks(benchmark: DataFrame, item_key: str, text: str, seed: int, block_words: int, whole: bool):
     """Broadcast blocks, each collected by itself; an item is never split."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{text}`").alias("text")).filter("item is not null and text <> ''")
@@ -156,14 +175,15 @@ def _blocks(benchmark: DataFrame, item_key: str, text: str, seed: int, block_wor
     n = max(1, -(-size // (block_words * 5)))
     for k in range(n):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
-        yield spark.sparkContext.broadcast(Block(sorted(rows, key=lambda r: (r[0], r[1])), seed))
+        yield spark.sparkContext.broadcast(Block(sorted(rows, key=lambda r: (r[0], r[1])), seed, whole))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
     """Pairs of a document and a test item of whose words at least ``coverage`` are tiled by the document.
 
     Columns: key, item_key, tiled_words, item_words, coverage, n_tiles, longest_tile. Tiles have ``seed`` words or
-    more; an item of fewer words has no seed and is never found. Null and empty texts, and items without an
+    more; an item of fewer words has no seed and is found only with ``whole``, where all its words stand in a row in
+    the document. Null and empty texts, and items without an
     id, match nothing. Repeated rows of ``docs`` are each reported; a null key is reported as null.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -173,19 +193,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_
     schema = f"key {kind}, item {benchmark.schema[item_key].dataType.simpleString()}, tiled_words long, item_words long, n_tiles long, longest_tile long"
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     out = None
-    for shared in _blocks(benchmark, item_key, text, seed, block_words):
-        part = rows.mapInArrow(_pairs(shared, seed, coverage, item_type), schema)
+    for shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
+        part = rows.mapInArrow(_pairs(shared, coverage, item_type), schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "tiled_words", "item_words", (F.col("tiled_words") / F.col("item_words")).alias("coverage"), "n_tiles", "longest_tile")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` without the rows that ``find_leaks`` reports, in one pass a block and without a shuffle."""
-    for shared in _blocks(benchmark, item_key, text, seed, block_words):
-        docs = docs.mapInArrow(_clean(shared, seed, coverage, text), docs.schema)
+    for shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
+        docs = docs.mapInArrow(_clean(shared, coverage, text), docs.schema)
     return docs
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True)

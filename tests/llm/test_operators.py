@@ -134,6 +134,29 @@ def test_tiling_against_the_definition(spark):
     assert got == want
 
 
+def test_items_shorter_than_a_seed_are_matched_whole(spark, tmp_path):
+    import corpus_pipeline
+    from runledger.llm.decontam import find_leaks, op3_query
+
+    r = random.Random(8)
+    docs = [(d, " ".join(r.choice("abcd") for _ in range(r.randrange(60))), "en", "s", 0) for d in range(40)] + [(99, None, "en", "s", 0), (100, "", "en", "s", 0)]
+    items = [(i, " ".join(r.choice("abcd") for _ in range(n))) for i, n in enumerate((1, 2, 3, 3, 4, 4, 5, 6, 9))] + [(20, "B, C!"), (21, "..."), (22, "zebra")]
+    brute = lambda s, t: brute_tiles(s, t, min(5, len(s)))
+    want = {}
+    for d, t, *_ in docs:
+        for i, s in items:
+            own = re.findall("[a-z]+", s.lower())
+            if own and (n := brute(own, (t or "").split())) and n >= 0.5 * len(own):
+                want[d, i] = n
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op3_query(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(x.doc_id, x.item_id): x.tiled_words for x in got} == want and {1, 2, 3, 4} <= {x.item_words for x in got}
+    assert {x.item_words for x in find_leaks(df, bench).collect()} <= {5, 6, 9}
+    assert {x.doc_id for x in corpus_pipeline.decontamination(spark, df, str(tmp_path)).collect()} == {d for d, *_ in docs} - {d for d, _ in want}
+
+
 def test_leaks_reordered_and_rewritten(odd, none, spark):
     from runledger.llm.decontam import drop_leaks, find_leaks
 
