@@ -36,6 +36,8 @@ BOILER_NAMES = frozenset(
     " related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar toc topbar widget widgets".split()
 )
 GOOD_NAMES = frozenset("article body content entry main page post story text".split())
+#: Words after which a class tells what an element holds or lacks, not what it is: with-sidebar, has-comments.
+MODIFIERS = frozenset("has no with without".split())
 SAFE_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
 #: Ends of an element that another start tag closes.
 CLOSES = {
@@ -71,6 +73,17 @@ def _describe(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     return found
 
 
+def _roles(named: str) -> set[str]:
+    """The words of classes and ids, each up to its first modifier."""
+    names = set()
+    for one in PARTS.sub("-", named).lower().split():
+        for word in SPLIT.split(one):
+            if word in MODIFIERS:
+                break
+            names.add(word)
+    return names
+
+
 def _described_anew(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
     if not attrs or attrs.isspace():
         return tag, tag in BOILER_TAGS or (tag == "header" and not inside)
@@ -84,7 +97,7 @@ def _described_anew(tag: str, attrs: str, inside: bool) -> tuple[str, bool]:
         return step, tag not in ("html", "body")
     if tag in SAFE_TAGS and tag != "p":
         return step, False
-    names = set(SPLIT.split(PARTS.sub("-", named).lower()))
+    names = _roles(named)
     if names & BOILER_NAMES:
         # "entry-header" or "post-tags" of the article itself are kept only where they head it
         return step, not (inside and names & {"header"} and names & GOOD_NAMES)
@@ -211,10 +224,35 @@ def scores(found: list[tuple[str, Element]]) -> list[tuple[float, str]]:
     return sorted(ranked, key=lambda x: (-x[0], x[1]))
 
 
+def best(found: list[tuple[str, Element]]) -> tuple[str | None, float]:
+    """The path of the best container, and its share of all points.
+
+    An article that holds it stands in for it, so that title, lead and sibling containers stay. So does a main without an
+    article in between, unless most of the rest of it is links and list items.
+    """
+    ranked = scores(found)
+    total = sum(s for s, _ in ranked)
+    if not total:
+        return None, 0.0
+    score, path = ranked[0]
+    below = f"{path}>"
+    e = next(e for _, e in found if e.path == path or e.path.startswith(below))
+    while e is not None and (e.path != path or e.tag not in CONTAINERS):
+        e = e.parent
+    while e is not None and e.tag not in ("article", "main"):
+        e = e.parent
+    if e is None or e.path == path:
+        return path, score / total
+    if e.tag == "main":
+        rest = [(len(own), x) for own, x in found if x.path.startswith(f"{e.path}>") and x.path != path and not x.path.startswith(below)]
+        if 2 * sum(n for n, x in rest if x.in_link or x.tag in ("li", "dt", "dd")) > sum(n for n, _ in rest):
+            return path, score / total
+    return e.path, score / total
+
+
 def main_text(page: str, path: str | None) -> str:
     """The blocks of the outermost elements on ``path``; of the page's own best container if none is there."""
     found = list(blocks(page))
-    ranked = scores(found)
 
     def within(path: str) -> list[str]:
         below, inside = f"{path}>", {}
@@ -227,8 +265,8 @@ def main_text(page: str, path: str | None) -> str:
         return out
 
     own = within(path) if path else []
-    if not own and ranked:
-        own = within(ranked[0][1])
+    if not own and (path := best(found)[0]):
+        own = within(path)
     return " ".join(own or [own for own, _ in found])
 
 
@@ -236,12 +274,11 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         host, path, score = [], [], []
         for h, page in zip(batch.column(0), batch.column(1), strict=True):
-            ranked = scores(list(blocks(page.as_py()))) if page.is_valid else []
-            total = sum(s for s, _ in ranked)
-            if total:
+            top, share = best(list(blocks(page.as_py()))) if page.is_valid else (None, 0.0)
+            if top:
                 host.append(h.as_py())
-                path.append(ranked[0][1])
-                score.append(ranked[0][0] / total)
+                path.append(top)
+                score.append(share)
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 
 

@@ -447,6 +447,29 @@ def test_html(spark):
     assert extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string, n_chars string").filter("false")).collect() == []
 
 
+def test_an_article_stands_in_for_its_long_container(spark):
+    from runledger.llm.html_text import extract_pages, main_text
+
+    long = "long body words " * 20
+    inner = f"<h1>T</h1><p>lead</p><div class=x>{long}</div><div class=y>more</div>"
+    want = f"T lead {long}more"
+    side = "<div><p>elsewhere</p></div>"
+    pages = [f"<body><article>{inner}</article>{side}</body>", f"<body><main>{inner}</main>{side}</body>"]
+    assert [main_text(p, None) for p in pages] == [want, want]
+    links = "<div class=z><ul>" + "<li><a href=/>one more story</a></li>" * 9 + "</ul></div>"
+    assert main_text(f"<main><div class=x>{long}</div>{links}</main>", None) == long.strip()
+    rows = [(k, f"http://h{k % 2}.org/", pages[k % 2]) for k in range(4)]
+    assert {r.text for r in extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()} == {want}
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "page no-sidebar", "layout has-sidebar", "main hasComments", "wrap--without-header"])
+def test_modifiers_are_no_roles(name):
+    from runledger.llm.html_text import main_text
+
+    assert main_text(f"<div class='{name}'><p>body text</p><div class=sidebar>s</div></div>", None) == "body text"
+    assert main_text("<div class='sidebar with-border'><p>s</p></div><div><p>body text</p></div>", None) == "body text"
+
+
 # --- pipeline
 
 
