@@ -1,32 +1,26 @@
-"""Written intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``."""
+"""Written intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``, and columns of any name."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where the session has none (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="runledger-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
-        found = f"file://{found}"
-    return found.rstrip("/")
+from runledger.operators.written import delete, gone_at_exit, shared_dir
 
 
 class Scratch:
     """A folder of one job's intermediate Parquet tables.
 
     Writing a table cuts the lineage: a lost executor costs a task that rereads the table, never the
-    stages before it. ``drop`` frees the disk of tables that no later step reads.
+    stages before it. ``drop`` frees the disk of tables that no later step reads; all others go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.dir = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        gone_at_exit(spark, self.dir)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"
@@ -34,7 +28,28 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.dir}/{name}")
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def names(own: list[str]) -> list[str]:
+    """Names for a caller's columns inside an operator: by place, so that they clash with none of its own."""
+    return [f"_k{n}" for n in range(len(own))]
+
+
+def aliased(own: list[str]) -> list[Column]:
+    return [col(c).alias(n) for c, n in zip(own, names(own), strict=True)]
+
+
+def restored(own: list[str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in zip(own, names(own), strict=True)]
+
+
+def schema_of(df: DataFrame, own: list[str], more: str) -> StructType:
+    """The schema of a caller's columns under their inner names, then ``more`` (in DDL)."""
+    return StructType([StructField(n, df.schema[c].dataType) for c, n in zip(own, names(own), strict=True)] + list(StructType.fromDDL(more)))
