@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.llm.scratch import Scratch, aliased, col, restored
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 DAY = 86_400
@@ -50,16 +52,18 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
     everything below it. Of the entries active at the fetch the longest pattern decides, a prefix before a
     domain, allow before block, then the first list by name. A null URL, one without a host, or a null fetch
     time meets no entry and is not blocked. Repeated rows are judged alike; columns named as the new ones are
-    replaced.
+    replaced, all others stay, whatever their names.
     """
+    spark = captures.sparkSession
+    scratch = Scratch(spark, "filters")
     new = ("host", "blocked", "list_name", "action", "pattern", "valid_from", "valid_to")
     own = [c for c in captures.columns if c not in new]
-    intervals = validity_intervals(entries)
+    intervals = scratch.write(validity_intervals(entries), "intervals")
     # The list's own depth bounds the keys that a capture needs: two numbers come to the driver.
     labels, steps = intervals.agg(F.max(F.when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))), F.max(F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/"))))).first()
-    judged = captures.select(F.col(f"`{url}`").alias("u"), F.col(f"`{fetched}`").cast("timestamp").alias("t"))
-    last = judged.agg(F.max("t")).first()[0]
-    pairs = judged.dropna().distinct().withColumn("host", host_of(F.col("u"))).filter("host <> ''")
+    judged = captures.select(col(url).alias("u"), col(fetched).cast("timestamp").alias("t"))
+    pairs = scratch.write(judged.dropna().distinct().withColumn("host", host_of(F.col("u"))).filter("host <> ''"), "pairs")
+    last = pairs.agg(F.max("t")).first()[0]
     parts, path = F.split("host", r"\."), F.split(F.regexp_replace(path_of(F.col("u")), "/+$", ""), "/")
     kinds = []
     if labels:
@@ -78,9 +82,9 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", f
         won = active.groupBy("u", "t").agg(F.min_by(F.struct("list_name", "action", "pattern", "valid_from", "valid_to"), rank).alias("w"))
     else:
         won = judged.filter("false").withColumn("w", F.lit(None).cast("struct<list_name:string,action:string,pattern:string,valid_from:timestamp,valid_to:timestamp>"))
-    out = captures.select(*own, F.col(f"`{url}`").alias("_u"), F.col(f"`{fetched}`").cast("timestamp").alias("_t"))
-    out = out.join(won, (F.col("_u") == F.col("u")) & (F.col("_t") == F.col("t")), "left")
-    return out.select(*own, host_of(F.col("_u")).alias("host"), F.coalesce(F.col("w.action") == "block", F.lit(False)).alias("blocked"), "w.list_name", "w.action", "w.pattern", "w.valid_from", "w.valid_to")
+    rows = captures.select(*aliased(own), col(url).alias("url"), col(fetched).cast("timestamp").alias("at"))
+    out = rows.join(won, (F.col("url") == F.col("u")) & (F.col("at") == F.col("t")), "left")
+    return out.select(*restored(own), host_of(F.col("url")).alias("host"), F.coalesce(F.col("w.action") == "block", F.lit(False)).alias("blocked"), "w.list_name", "w.action", "w.pattern", "w.valid_from", "w.valid_to")
 
 
 #: The query's dated lists, by rule from the hosts of ``pages`` (n: the host's length): list, action, kind, pattern, change, day from 2024-01-01, hosts.
