@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runledger.llm.scratch import aliased, col, names
+
 #: Most labelled rows that the list is fitted on; those with the smallest hash of doc_id are taken.
 LABELLED_ROWS = 20_000
 WINDOW = 5
@@ -24,36 +26,42 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and helper counts.
 
     Null and empty texts count as having no words. Words compare as they are written. Columns of ``df``
-    that carry one of the new names are replaced.
+    that carry one of the new names are replaced; all others stay, whatever their names.
     """
     own = [c for c in df.columns if c not in STATISTICS]
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = df.select(
-        *own,
-        F.array_remove(F.split(t, WORD_GAP), "").alias("_words"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
+    out = _statistics(df.select(F.struct(*aliased(own)).alias("row"), F.coalesce(col(text), F.lit("")).alias("t")))
+    return out.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(own, names(own), strict=True)], *STATISTICS)
+
+
+def _statistics(rows: DataFrame) -> DataFrame:
+    """(row, and the statistics) of rows (row, t)."""
+    t = F.col("t")
+    base = rows.select(
+        "row",
+        F.array_remove(F.split(t, WORD_GAP), "").alias("words"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit("!")).cast("long").alias("n_exclaim"),
         F.regexp_count(t, F.lit("[0-9]")).cast("long").alias("n_digits"),
     )
     spans = F.when(
-        F.size("_words") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
+        F.size("words") >= WINDOW,
+        F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))),
     )
     base = base.select(
-        *own, "n_symbols", "n_upper", "n_exclaim", "n_digits",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size(F.filter("_words", lambda w, i: w.eqNullSafe(F.get("_words", i - 1)))).cast("long").alias("n_stutters"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        spans.alias("_spans"),
+        "row", "n_symbols", "n_upper", "n_exclaim", "n_digits",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size(F.filter("words", lambda w, i: w.eqNullSafe(F.get("words", i - 1)))).cast("long").alias("n_stutters"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        spans.alias("spans"),
     )
     # Only texts with an equal pair of windows are sorted; equal windows are then neighbours.
-    order = F.when(F.size(F.array_distinct("_spans")) < F.size("_spans"), F.sort_array(F.transform("_spans", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    base = base.withColumn("_order", order).drop("_spans")
-    s = F.col("_order")
+    order = F.when(F.size(F.array_distinct("spans")) < F.size("spans"), F.sort_array(F.transform("spans", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    base = base.withColumn("order", order).drop("spans")
+    s = F.col("order")
     again = F.when(
         s.isNotNull(),
         F.array_sort(
@@ -66,12 +74,12 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             )
         ),
     )
-    base = base.withColumn("_at", again).drop("_order")
-    at = F.col("_at")
-    covered = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
-    return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    base = base.withColumn("at", again).drop("order")
+    covered = F.aggregate(F.col("at"), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
+    return base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
 
 
+VERDICTS = ("base_failed", "rule_no", "kept")
 STATISTICS = ("n_symbols", "n_upper", "n_exclaim", "n_digits", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
 
 #: Features of the decision list: name -> (numerator, denominator); a denominator of 0 gives 0.
@@ -193,9 +201,10 @@ def fit_rules(labelled: DataFrame, label: str = "quality", key: str = "doc_id",
     At most ``most_rows`` rows come to the driver: those with the smallest hash of ``key``, so that the
     sample depends on the rows alone and not on their partitions.
     """
-    picked = labelled.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(most_rows)
-    stats = text_statistics(picked).select(F.xxhash64(key).alias("_h"), key, *(feature(n).alias(n) for n in FEATURES), (F.col(label) == 0).cast("int").alias("bad"))
-    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: (r["_h"], str(r[key])))
+    known = labelled.select(F.struct(col(key).alias("key"), (col(label) == 0).cast("int").alias("bad")).alias("row"), F.coalesce(col("text"), F.lit("")).alias("t"))
+    picked = known.filter("row.bad is not null").orderBy(F.xxhash64("row.key"), "row.key", "t").limit(most_rows)
+    stats = _statistics(picked).select(F.xxhash64("row.key").alias("hash"), "row.key", "row.bad", *(feature(n).alias(n) for n in FEATURES))
+    rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: (r["hash"], str(r["key"]), r["bad"], *(r[n] for n in FEATURES)))
     return learn_rules(rows, **how)
 
 
@@ -207,21 +216,29 @@ def decision(rules: list[Rule]) -> Column:
     return out
 
 
+def _judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
+    return stats.withColumn("base_failed", failed).withColumn("rule_no", decision(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule_no") == 0))
+
+
 def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``df`` with its statistics, base_failed, rule_no (the rejecting rule, 0 for none) and kept.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged alike.
+    A null or empty text has no words and fails the base rules. Repeated rows are judged alike. Columns named as the new
+    ones are replaced; all others stay, whatever their names.
     """
-    with_stats = text_statistics(df, text)
-    failed = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
-    return with_stats.withColumn("base_failed", failed).withColumn("rule_no", decision(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule_no") == 0))
+    own = [c for c in df.columns if c not in STATISTICS and c not in VERDICTS]
+    judged = _judged(_statistics(df.select(F.struct(*aliased(own)).alias("row"), F.coalesce(col(text), F.lit("")).alias("t"))), rules)
+    return judged.select(*[F.col(f"row.{n}").alias(c) for c, n in zip(own, names(own), strict=True)], *STATISTICS, *VERDICTS)
 
 
 def keep_good(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of ``df`` that ``apply_rules`` keeps, unchanged."""
+    """The rows of ``df`` that ``apply_rules`` keeps, with all their columns unchanged, whatever their names."""
+    own = df.columns
+    rows = df.select(F.struct(*aliased(own)).alias("row"), F.coalesce(col(text), F.lit("")).alias("t"))
     # The row mark keeps the filter above the statistics: pushed below them, it would compute them once for each use.
-    judged = apply_rules(df, rules, text).withColumn("_rl_row", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_rl_row") >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    judged = _judged(_statistics(rows), rules).withColumn("mark", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("mark") >= 0)).select(*[F.col(f"row.{n}").alias(c) for c, n in zip(own, names(own), strict=True)])
 
 
 def rules_from_tables(docs: DataFrame, labels: DataFrame) -> list[Rule]:
