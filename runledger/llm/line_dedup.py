@@ -1,31 +1,36 @@
 """Line dedup with two Bloom filters: only lines suspected of repeating are shuffled.
 
-Pass 1 sets every line's bits in a once-seen filter, and those of lines seen again in a twice-seen filter.
-Filters of different tasks merge by ``twice |= other.twice | (once & other.once)``. Pass 2 sends on only the
-lines in the merged twice-seen filter; grouping them by a 128-bit digest confirms repeats exactly and picks
-the first document. The filters have no false negatives, so a filter that is too full costs shuffle, not
-correctness.
+The once-seen filter is kept by hash range: tasks send the hashes of their lines to the ranges, and each range's
+filter picks those that were there before, so that the filter's size follows the lines and no task holds more than one
+range of it. Those picked make the twice-seen filter, which is broadcast: its size follows the repeated lines. Pass 2
+sends on only the lines in it; grouping them by a 128-bit digest confirms repeats exactly and picks the first
+document. The filters have no false negatives, so a filter that is too full costs shuffle, not correctness.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.kernel import BYTE, LOWER, SPACE, STEP, U, powers, slices, splitmix, texts
-from runledger.llm.scratch import Scratch
+from runledger.llm.scratch import Scratch, aliased, col, names, restored, schema_of
 
 SEGMENT = 1 << 16
 HASHES = 3
-#: Filter bits for each line, and the largest filter: 2**30 bits, 128 MB, whatever the input.
+#: Filter bits for each line, and for each line picked by the first filter.
 BITS_PER_LINE = 12
+#: Bits of one hash range of the first filter; ranges at most, and bits of a range beyond so many ranges.
+RANGE_BITS, MOST_RANGES, LARGEST_RANGE = 1 << 20, 1 << 16, 1 << 26
+#: The largest second filter: 2**30 bits, 128 MB, whatever the input.
 MOST_BITS = 1 << 30
+#: Distinct lines that a task holds before it sends them on, and hashes in a row that it sends.
+HELD, ROW_HASHES = 1_000_000, 512
 BLANK = b" \t\n\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -62,57 +67,131 @@ def positions(hashed: np.ndarray, bits: int) -> np.ndarray:
         return np.stack([(hashed + U(j) * step) & U(bits - 1) for j in range(HASHES)])
 
 
-def _segments(found: np.ndarray) -> dict[int, bytes]:
-    found = np.unique(found)
-    at = found // U(SEGMENT)
-    edges = np.flatnonzero(np.diff(at)) + 1
-    return {int(p[0] // U(SEGMENT)): (p % U(SEGMENT)).astype(np.uint16).tobytes() for p in np.split(found, edges) if len(p)}
+def power_of_two(least: float) -> int:
+    return 1 << max(0, math.ceil(math.log2(least))) if least > 1 else 1
 
 
-def _filters(bits: int, least: int):
-    """Filters of one task, as sorted positions within segments."""
+def _rows(hashed: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Sorted hashes as rows (range, hashes) of a bounded size each."""
+    at = (hashed >> U(64 - (ranges.bit_length() - 1))).astype(np.int64) if ranges > 1 else np.zeros(len(hashed), np.int64)
+    edges = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(hashed) else np.zeros(0, np.int64)
+    starts = np.concatenate([np.arange(i, j, ROW_HASHES) for i, j in zip(edges, np.append(edges[1:], len(hashed)), strict=True)]) if len(edges) else edges
+    offsets = np.append(starts, len(hashed)).astype(np.int64) * 8
+    listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(hashed.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(at[starts].astype(np.int32)), listed.cast(pa.binary())], names=["range", "hashes"])
+
+
+def _hashes(ranges: int, least: int):
+    """Hashes of the lines of one task, by range: a line once for a document, at most twice for a million of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(0, U), np.zeros(0, U)
         pending: list[np.ndarray] = []
         held = 0
 
-        def fold(once, twice):
-            every, count = np.unique(np.concatenate([once, *pending]), return_counts=True)
-            return every, np.union1d(twice, every[count > 1])
+        def send():
+            every, count = np.unique(np.concatenate(pending), return_counts=True)
+            pending.clear()
+            yield _rows(every, ranges)
+            if len(again := every[count > 1]):
+                yield _rows(again, ranges)
 
         for batch in batches:
             data, offsets = texts(batch.column(0))
             for i, j in slices(offsets):
                 lo, hi = offsets[i], offsets[j]
                 hashed, row, *_ = line_keys(data[lo:hi], offsets[i : j + 1] - lo, least)
-                if len(hashed):  # a line counts once for a document
+                if len(hashed):
                     order = np.lexsort((hashed, row))
                     h, r = hashed[order], row[order]
-                    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
-                    pending.append(h[new])
-                    held += int(new.sum())
-                if held > 1_000_000:
-                    once, twice = fold(once, twice)
-                    pending, held = [], 0
-        once, twice = fold(once, twice)
-        if len(once):
-            a = _segments(positions(once, bits).ravel())
-            b = _segments(positions(twice, bits).ravel()) if len(twice) else {}
-            keys = sorted(a)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([a[k] for k in keys], pa.binary()), pa.array([b.get(k, b"") for k in keys], pa.binary())], names=["segment", "once", "twice"])
+                    pending.append(h[np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))])
+                    held += len(pending[-1])
+                if held > HELD:
+                    yield from send()
+                    held = 0
+        if pending:
+            yield from send()
+
+    return run
+
+
+def _seen_before(bits: int):
+    """Hashes that the filter of their range already holds, each once; rows come range by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, current, found = np.zeros(bits, bool), None, []
+
+        def picked() -> pa.RecordBatch:
+            again = np.unique(np.concatenate(found)) if found else np.zeros(0, U)
+            return pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], names=["hash"])
+
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if at != current:
+                    if found:
+                        yield picked()
+                    current, found = at, []
+                    once[:] = False
+                own = np.frombuffer(raw.as_buffer(), U)
+                place = positions(own, bits).astype(np.int64)
+                hit = once[place].all(axis=0)
+                if hit.any():
+                    found.append(own[hit])
+                once[place.ravel()] = True
+                if len(found) > 4096:
+                    found = [np.unique(np.concatenate(found))]
+        if found:
+            yield picked()
 
     return run
 
 
-def _merge_segment(pdf: pd.DataFrame) -> pd.DataFrame:
-    once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-    for a, b in zip(pdf["once"], pdf["twice"], strict=True):
-        own = np.frombuffer(a, np.uint16)
-        twice[own[once[own]]] = True
-        once[own] = True
-        twice[np.frombuffer(b, np.uint16)] = True
-    return pd.DataFrame({"segment": pdf["segment"][:1].to_numpy(), "twice": [np.packbits(twice).tobytes()]})
+def _segments(bits: int):
+    """Positions of hashes within the segments of a filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(positions(batch.column(0).to_numpy(zero_copy_only=False).view(U), bits).ravel())
+            at = (found // U(SEGMENT)).astype(np.int64)
+            parts = np.split((found % U(SEGMENT)).astype(np.uint16), np.flatnonzero(np.diff(at)) + 1) if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(at).astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["segment", "at"])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of each segment; rows come segment by segment, so that one is held at a time."""
+    current, bits = None, np.zeros(SEGMENT, bool)
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+    for batch in batches:
+        for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if segment != current:
+                if current is not None:
+                    yield row()
+                current = segment
+                bits[:] = False
+            bits[np.frombuffer(raw.as_buffer(), np.uint16)] = True
+    if current is not None:
+        yield row()
+
+
+def twice_seen(src: DataFrame, scratch: Scratch, least: int, bits_per_line: float, most_bits: int, range_bits: int) -> tuple[np.ndarray, int]:
+    """The twice-seen filter of the lines of ``src`` (text), and its bits."""
+    lines = src.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("\n")) + 1), F.lit(0))).first()[0]
+    ranges = min(MOST_RANGES, power_of_two(bits_per_line * lines / range_bits))
+    bits = min(LARGEST_RANGE, power_of_two(max(1024, bits_per_line * lines / ranges)))
+    sent = src.select("text").mapInArrow(_hashes(ranges, least), "range int, hashes binary")
+    # Rows of a range come one after the other: a merging task holds one range's filter, whatever the number of tasks that sent rows.
+    seen = sent.repartition("range").sortWithinPartitions("range").mapInArrow(_seen_before(bits), "hash long")
+    seen = scratch.write(seen, "seen-before")
+    bits = 1 << 20
+    while bits < min(bits_per_line * seen.count(), most_bits):
+        bits *= 2
+    parts = seen.mapInArrow(_segments(bits), "segment int, at binary").repartition("segment").sortWithinPartitions("segment")
+    twice = np.zeros(bits // 8, np.uint8)  # bounded by most_bits
+    for r in parts.mapInArrow(_united, "segment int, bits binary").toLocalIterator():
+        twice[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
+    scratch.drop("seen-before")
+    return twice, bits
 
 
 def _suspects(shared, bits: int, least: int):
@@ -138,7 +217,7 @@ def _suspects(shared, bits: int, least: int):
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, drops = batch.column("_rl_text"), batch.column("_rl_drops")
+        text, drops = batch.column("text"), batch.column("drops")
         kept, lines, dropped, sha = [], [], [], []
         for t, d in zip(text, drops, strict=True):
             was_null = not t.is_valid
@@ -154,35 +233,25 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines.append(n)
             dropped.append(d)
             sha.append(hashlib.sha256(t.encode()).hexdigest())
-        columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name not in ("_rl_text", "_rl_drops")]
-        names = [name for name in batch.schema.names if name not in ("_rl_text", "_rl_drops")]
-        columns += [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "_rl_text", "_rl_lines", "_rl_dropped", "_rl_sha"])
+        keep = batch.schema.names[2:]
+        new = [pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha, pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *new], names=[*keep, "text", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 10, bits_per_line: int = BITS_PER_LINE, most_bits: int = MOST_BITS) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 10, bits_per_line: float = BITS_PER_LINE, most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS) -> DataFrame:
     """``df`` with repeated lines gone from ``text``, and n_lines (before), n_dropped and kept_sha256.
 
     A line's key is the line without outer white space, A-Z lower-cased. Keys of ``least_chars`` code points or
     more that occur in two documents or more keep their lines only in the document of smallest ``key``. A null
     or empty text is one empty line; a null text stays null (its digest is that of the empty text). Rows of
     equal key are one document: a key that only they share is no repeat. A row of null key takes no part and
-    keeps its text. Other columns stay; those named as the new ones are replaced.
+    keeps its text. Columns named as the new ones are replaced; all others stay, whatever their names.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lines")
     new = ("n_lines", "n_dropped", "kept_sha256")
-    t = F.col(f"`{text}`")
-    src = df.select(F.col(f"`{key}`").alias("doc"), t.alias("text")).filter("doc is not null and text <> ''")
-    lines = src.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit("\n")) + 1), F.lit(0))).first()[0]
-    bits = 1 << 20
-    while bits < min(bits_per_line * lines, most_bits):
-        bits *= 2
-    parts = src.select("text").mapInArrow(_filters(bits, least_chars), "segment int, once binary, twice binary")
-    merged = parts.groupBy("segment").applyInPandas(_merge_segment, "segment int, twice binary")
-    twice = np.zeros(bits // 8, np.uint8)  # bounded by most_bits
-    for r in merged.toLocalIterator():
-        twice[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.twice, np.uint8)
+    src = df.select(col(key).alias("doc"), col(text).alias("text")).filter("doc is not null and text <> ''")
+    twice, bits = twice_seen(src, scratch, least_chars, bits_per_line, most_bits, range_bits)
     shared = spark.sparkContext.broadcast(twice.tobytes())
     kind = src.schema["doc"].dataType.simpleString()
     marked = src.withColumn("mark", F.xxhash64("text"))
@@ -190,15 +259,13 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_ch
     repeats = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     repeats = scratch.write(repeats, "repeats")
     # The key of a very common line is hot: adaptive execution splits the suspects' side, the other has one row a key.
-    drops = suspects.join(repeats, "key").filter("doc > first").groupBy("doc", "mark").agg(F.collect_set("line").alias("_rl_drops"))
+    drops = suspects.join(repeats, "key").filter("doc > first").groupBy("doc", "mark").agg(F.collect_set("line").alias("drops"))
     own = [c for c in df.columns if c != text and c not in new]
-    rows = df.select(*[F.col(f"`{c}`") for c in own], t.alias("_rl_text"), F.col(f"`{key}`").alias("_rl_doc"), F.xxhash64(t).alias("_rl_mark"))
-    joined = rows.join(drops, (F.col("_rl_doc") == F.col("doc")) & (F.col("_rl_mark") == F.col("mark")), "left").drop("doc", "mark", "_rl_doc", "_rl_mark")
-    fields = [joined.schema[c] for c in own]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_rl_text string, _rl_lines long, _rl_dropped long, _rl_sha string"])
-    out = joined.mapInArrow(_rebuild, schema)
-    columns = [F.col("_rl_text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns if c not in new]
-    return out.select(*columns, F.col("_rl_lines").alias("n_lines"), F.col("_rl_dropped").alias("n_dropped"), F.col("_rl_sha").alias("kept_sha256"))
+    rows = df.select(col(text).alias("text"), col(key).alias("of"), F.xxhash64(col(text)).alias("like"), *aliased(own))
+    joined = rows.join(drops, (F.col("of") == F.col("doc")) & (F.col("like") == F.col("mark")), "left").select("text", "drops", *names(own))
+    out = joined.mapInArrow(_rebuild, schema_of(df, own, "text string, n_lines long, n_dropped long, kept_sha256 string"))
+    back = dict(zip(own, restored(own), strict=True)) | {text: F.col("text").alias(text)}
+    return out.select(*[back[c] for c in df.columns if c not in new], *new)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
