@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.components import connected_components
 from runledger.llm.kernel import STEP, U, shingles, slices, splitmix, texts, words
-from runledger.llm.scratch import Scratch
+from runledger.llm.scratch import Scratch, aliased, col, names, restored
 
 HALF = 3
 #: Most probability of missing a pair exactly at the threshold in all tables.
@@ -198,7 +198,8 @@ def _link_queries(shared, k: int, percent: int, kind: pa.DataType):
     return run
 
 
-def _against(members: DataFrame, queries: list, k: int, percent: int, kind: str) -> DataFrame:
+def _against(members: DataFrame, queries: list, k: int, percent: int, kind: str, scratch: Scratch, name: str) -> DataFrame:
+    """The links of all ``members`` to the queries, as a written table; the broadcast queries are let go of."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     by: dict = {}
@@ -206,7 +207,9 @@ def _against(members: DataFrame, queries: list, k: int, percent: int, kind: str)
         by.setdefault(r.comp, ([], []))[0].append(r.key)
         by[r.comp][1].append(r.text)
     shared = members.sparkSession.sparkContext.broadcast({c: (keys, pa.array(t, pa.string())) for c, (keys, t) in by.items()})
-    return members.mapInArrow(_link_queries(shared, k, percent, to_arrow_type(members.schema["key"].dataType)), f"u {kind}, v {kind}")
+    found = scratch.write(members.mapInArrow(_link_queries(shared, k, percent, to_arrow_type(members.schema["key"].dataType)), f"u {kind}, v {kind}"), name)
+    shared.destroy()
+    return found
 
 
 def candidate_stars(sketches: DataFrame, m: int, scratch: Scratch) -> DataFrame:
@@ -229,30 +232,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     Words are runs without white space, A-Z lower-cased. A text's set holds its distinct runs of ``shingle`` words,
     or its whole sequence if it has fewer; a text without words (null, empty) has none and is linked with
     nothing. Texts are linked if 100 * intersection >= percent * union. component_id is the smallest key that
-    links reach, kept marks its own row. Rows of one key are one document. A row of null key takes no part: it has no
-    component and is kept.
+    links reach, kept marks its own row. Rows of one key are one document, also where their texts differ; each of these
+    rows has the n_shingles of its own text. A row of null key takes no part: it has no component and is kept.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "near")
     kind = df.schema[key].dataType.simpleString()
     m = half_keys(percent / 100)
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(col(key).alias("key"), col(text).alias("text"))
     sketched = scratch.write(rows.mapInArrow(_sketch(shingle, m), f"key {kind}, n long, sig binary, halves array<long>"), "sketched")
     known = sketched.filter("sig is not null and key is not null")
     classes = scratch.write(known.groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
     stars = candidate_stars(classes, m, scratch)
-    coarse = scratch.write(connected_components(stars, scratch, "coarse").join(classes.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select("node", F.col("label").alias("comp"), "n"), "coarse")
+    coarse = scratch.write(connected_components(stars, scratch, "coarse").join(classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least")), F.col("node") == F.col("rep")).select("node", F.col("label").alias("comp"), "n", "least"), "coarse")
     sizes = scratch.write(coarse.groupBy("comp").agg(F.sum("n").alias("size")), "sizes")
     total = sizes.filter(F.col("size") <= task_shingles).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_SHINGLES))
-    members = rows.join(coarse.join(sizes, "comp"), F.col("key") == F.col("node")).select("comp", "size", "key", "text")
+    members = rows.join(coarse.join(sizes, "comp"), F.col("key") == F.col("node")).select("comp", "size", "key", "text", "n", "least")
     members = scratch.write(members, "members")
     small = members.filter(F.col("size") <= task_shingles).select("comp", "key", "text", F.pmod(F.xxhash64("comp"), F.lit(chunks)).alias("chunk"))
     links = small.groupBy("chunk").applyInPandas(_link_chunk(shingle, percent), f"u {kind}, v {kind}")
     edges = scratch.write(links, "links")
-    large = members.filter(F.col("size") > task_shingles).select("comp", "key", "text")
+    large = members.filter(F.col("size") > task_shingles).select("comp", "key", "text", "n", "least")
     more = list(_large_links(large, coarse, sizes, scratch, shingle, percent, task_shingles, query_shingles, kind))
-    for found in more:
+    for found in [*more, *_shared_keys(known, classes, scratch)]:
         edges = edges.unionByName(found)
     labels = scratch.write(connected_components(edges, scratch, "fine"), "labels")
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("label", "rep").alias("comp"))
@@ -273,32 +276,50 @@ def _large_links(large: DataFrame, coarse: DataFrame, sizes: DataFrame, scratch:
     if too_large.limit(1).count() == 0:
         return
     # Pivots: the classes of smallest hash in each of PIVOTS parts of a component; minima combine before the shuffle.
-    pivots = too_large.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.min_by("node", F.xxhash64(F.lit(1), "node")).alias("key"), F.min_by("n", F.xxhash64(F.lit(1), "node")).alias("n"))
+    pivots = too_large.groupBy("comp", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part")).agg(F.min_by("node", F.xxhash64(F.lit(1), "node")).alias("key"), F.min_by(F.struct("n", "least"), F.xxhash64(F.lit(1), "node")).alias("s")).select("comp", "key", "s.n", "s.least")
     found = []
-    for block in _query_blocks(large, pivots, query_shingles, scratch, "pivots"):
-        found.append(scratch.write(_against(large, block, k, percent, kind), f"pivot-links-{len(found)}"))
+    for rows, block in _query_blocks(large, pivots, query_shingles, percent, scratch, "pivots"):
+        found.append(_against(rows, block, k, percent, kind, scratch, f"pivot-links-{len(found)}"))
         yield found[-1]
     edges = found[0]
     for f in found[1:]:
         edges = edges.unionByName(f)
     labels = scratch.write(connected_components(edges, scratch, "pivoted").withColumnRenamed("node", "n_node"), "pivot-labels")
-    labelled = too_large.join(labels, F.col("node") == F.col("n_node"), "left").select("comp", "node", "n", F.coalesce("label", "node").alias("label"))
+    labelled = too_large.join(labels, F.col("node") == F.col("n_node"), "left").select("comp", "node", "n", "least", F.coalesce("label", "node").alias("label"))
     labelled = scratch.write(labelled, "labelled")
     clusters = labelled.groupBy("comp", "label").agg(F.sum("n").alias("weight"))
     largest = scratch.write(clusters.groupBy("comp").agg(F.max_by("label", F.struct("weight", "label")).alias("top")), "largest")
-    outside = labelled.join(largest, "comp").filter("label <> top").select("comp", F.col("node").alias("key"), "n")
-    for n, block in enumerate(_query_blocks(large, outside, query_shingles, scratch, "outside")):
-        yield scratch.write(_against(large, block, k, percent, kind), f"outside-links-{n}")
+    outside = labelled.join(largest, "comp").filter("label <> top").select("comp", F.col("node").alias("key"), "n", "least")
+    for n, (rows, block) in enumerate(_query_blocks(large, outside, query_shingles, percent, scratch, "outside")):
+        yield _against(rows, block, k, percent, kind, scratch, f"outside-links-{n}")
 
 
-def _query_blocks(large: DataFrame, queries: DataFrame, most: int, scratch: Scratch, name: str) -> Iterator[list]:
-    """The queries' rows (comp, key, text), collected in blocks of about ``most`` shingles."""
-    queries = scratch.write(queries.select(F.col("comp").alias("q_comp"), F.col("key").alias("q_key"), "n"), name)
-    total = queries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    blocks = -(-total // most)
-    held = scratch.write(large.join(queries, F.col("key") == F.col("q_key")).select("comp", "key", "text").distinct(), f"{name}-texts")
-    for b in range(blocks):
-        yield held.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()
+def _query_blocks(large: DataFrame, queries: DataFrame, most: int, percent: int, scratch: Scratch, name: str) -> Iterator[tuple[DataFrame, list]]:
+    """The queries' rows (comp, key, text), collected in blocks of about ``most`` shingles, each with the rows that it can be linked with.
+
+    A block's sets are of like size: linked sets are of sizes within ``percent``, so that a pass leaves out all others.
+    """
+    band = F.floor(F.ln("least") / F.lit(math.log(100 / percent) + 1e-9)).alias("band")
+    queries = scratch.write(queries.select(F.col("key").alias("q_key"), F.col("n").alias("q_n"), F.col("least").alias("q_least"), band), name)
+    held = scratch.write(large.join(queries, F.col("key") == F.col("q_key")).select("comp", "key", "text", "band").distinct(), f"{name}-texts")
+    # A row a band: sizes double every few bands.
+    for r in sorted(queries.groupBy("band").agg(F.sum("q_n").alias("total"), F.min("q_least").alias("low"), F.max("q_n").alias("high")).collect()):
+        rows = large.filter((100 * F.col("n") >= percent * r.low) & (percent * F.col("least") <= 100 * r.high)).select("comp", "key", "text")
+        blocks = -(-r.total // most)
+        for b in range(blocks):
+            yield rows, held.filter((F.col("band") == r.band) & (F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)).select("comp", "key", "text").collect()
+
+
+def _shared_keys(known: DataFrame, classes: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Links of the classes of keys that have several texts."""
+    several = known.groupBy("key").agg(F.min("sig").alias("first"), F.max("sig").alias("last")).filter("first <> last").select("key", "first")
+    several = scratch.write(several, "several")
+    if several.limit(1).count() == 0:
+        return []
+    pairs = scratch.write(known.join(several, "key").filter("sig <> first").select("sig", "first").distinct(), "same-key")
+    reps = classes.select("sig", "rep")
+    linked = pairs.join(reps.withColumnRenamed("rep", "u"), "sig").join(reps.select(F.col("sig").alias("first"), F.col("rep").alias("v")), "first")
+    return [scratch.write(linked.select("u", "v").filter("u <> v").distinct(), "same-key-links")]
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
@@ -306,7 +327,24 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, shingle=3, percent=85)
 
 
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) >= 3 then list_sort(list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+), classes as materialized (select s, min(doc_id) as rep from sets where len(s) > 0 group by s),
+held as materialized (select rep, len(s) as n, unnest(s) as x from classes),
+links as materialized (
+  select a.rep as u, b.rep as v from held a join held b on a.x = b.x and a.rep <> b.rep group by a.rep, b.rep, a.n, b.n
+  having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach as (select rep as node, rep as label from classes union select v, label from reach join links on u = node),
+labels as (select node, min(label) as label from reach group by node)
+select doc_id, cast(len(sets.s) as bigint) as n_shingles, coalesce(label, doc_id) as component_id, doc_id = coalesce(label, doc_id) as kept
+from sets left join classes on sets.s = classes.s left join labels on node = rep"""
+
+
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``df`` with one document of each component, that of the smallest key; rows of null key stay."""
-    gone = near_duplicates(df, key, text, shingle, percent).filter("not kept").select(F.col(f"`{key}`").alias("_rl_gone")).distinct()
-    return df.join(gone, F.col(f"`{key}`") == F.col("_rl_gone"), "left_anti")
+    gone = near_duplicates(df, key, text, shingle, percent).filter("not kept").select(col(key).alias("gone")).distinct()
+    own = df.columns
+    return df.select(*aliased(own)).join(gone, F.col(names(own)[own.index(key)]) == F.col("gone"), "left_anti").select(*restored(own))
