@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.kernel import PUNCT, U, shingles, slices, texts, words
+from runledger.llm.scratch import Scratch, aliased, col, restored
 
 SEED = 5
 COVERAGE = 0.5
 #: Words of a block of the benchmark, about 40 bytes each in every worker.
 BLOCK_WORDS = 1_000_000
 SIEVE = 1 << 20
+#: Seed hits that are held at once.
+HITS = 1_000_000
 
 
 def tokens(column: pa.Array):
@@ -69,37 +72,49 @@ class Block:
         self.tables = [t for t in (Seeds(size, *x) for size, x in lists.items()) if len(t.seeds)]
 
 
-def tile(item_at: np.ndarray, doc_at: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from seed hits: (start in the item, start in the document, words) of each tile.
-
-    The longest unmarked match goes first; of equal ones the first in the document, then in the item.
-    """
+def runs(item_at: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed hits in a row on one diagonal, as (first in the item, first in the document, hits), by diagonal."""
     diagonal = doc_at - item_at
     order = np.lexsort((item_at, diagonal))
     d, i = diagonal[order], item_at[order]
     new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)))
-    ends = np.append(new[1:], len(i))
-    heap = [(-int(e - s + seed - 1), int(i[s] + d[s]), int(i[s])) for s, e in zip(new, ends, strict=True)]
+    return i[new], i[new] + d[new], np.diff(np.append(new, len(i)))
+
+
+def joined(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of several parts of a document, those that go on from one part to the next made one."""
+    i, j, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((i, j - i))
+    i, j, n = i[order], j[order], n[order]
+    d = j - i
+    first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + n[:-1])))
+    return i[first], j[first], np.add.reduceat(n, first)
+
+
+def tile(item_at: np.ndarray, doc_at: np.ndarray, hits: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling from runs of seed hits: (start in the item, start in the document, words) of each tile.
+
+    The longest unmarked match goes first; of equal ones the first in the document, then in the item.
+    """
+    size = hits + seed - 1
+    heap = list(zip((-size).tolist(), doc_at.tolist(), item_at.tolist(), strict=True))
     heapq.heapify(heap)
-    marked_item, marked_doc, tiles = set(), set(), []
-    while heap:
-        size, j, i0 = heapq.heappop(heap)
-        size = -size
-        free = [n for n in range(size) if i0 + n not in marked_item and j + n not in marked_doc]
-        if len(free) == size:
-            tiles.append((i0, j, size))
-            marked_item.update(range(i0, i0 + size))
-            marked_doc.update(range(j, j + size))
+    i_low, j_low = int(item_at.min()), int(doc_at.min())
+    item_free, doc_free = np.ones(int((item_at + size).max()) - i_low, bool), np.ones(int((doc_at + size).max()) - j_low, bool)
+    left, tiles = len(item_free), []
+    while heap and left >= seed:
+        n, j, i = heapq.heappop(heap)
+        n = -n
+        free = item_free[i - i_low : i - i_low + n] & doc_free[j - j_low : j - j_low + n]
+        if free.all():
+            tiles.append((i, j, n))
+            item_free[i - i_low : i - i_low + n] = doc_free[j - j_low : j - j_low + n] = False
+            left -= n
             continue
-        start = None
-        for n in [*free, None]:  # what is left of it, in runs
-            if start is not None and n != last + 1:
-                if last - start + 1 >= seed:
-                    heapq.heappush(heap, (-(last - start + 1), j + start, i0 + start))
-                start = None
-            if n is None:
-                break
-            start, last = n if start is None else start, n
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]))).tolist()
+        for a, b in zip(edges[::2], edges[1::2], strict=True):  # what is left of it, in runs
+            if b - a >= seed:
+                heapq.heappush(heap, (a - b, j + a, i + a))
     return tiles
 
 
@@ -112,7 +127,11 @@ def _matches(block: Block, column: pa.Array):
 
 
 def _hits(table: Seeds, hashed: np.ndarray, before: np.ndarray):
-    """As ``_matches``, of the seeds of one size in a slice; rows count from the slice's first."""
+    """As ``_matches``, of the seeds of one size in a slice; rows count from the slice's first.
+
+    Hits are made for some HITS at a time and kept as runs: a document and an item that repeat one seed have as many hits as
+    the product of the two, but no more runs than their words.
+    """
     seed = table.size
     found, row = shingles(hashed, before, seed, False)
     if not len(found):
@@ -123,14 +142,30 @@ def _hits(table: Seeds, hashed: np.ndarray, before: np.ndarray):
     hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     if not len(hit):
         return
-    at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    r, doc_at = np.repeat(row[hit], n), np.repeat(hit - first[row[hit]], n)
-    item, item_at = table.item[at], table.at[at]
-    order = np.lexsort((item, r))
-    r, item, item_at, doc_at = r[order], item[order], item_at[order], doc_at[order]
-    new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1])))
-    for s, e in zip(new, np.append(new[1:], len(r)), strict=True):
-        yield int(r[s]), int(item[s]), tile(item_at[s:e], doc_at[s:e], seed)
+    upto = np.cumsum(n)
+    open_row, held = -1, {}
+
+    def tiled():
+        for k in sorted(held):
+            yield open_row, k, tile(*joined(held[k]), seed)
+
+    begin = 0
+    while begin < len(hit):
+        stop = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS, "right")))
+        h, l, c = hit[begin:stop], lo[begin:stop], n[begin:stop]
+        begin = stop
+        at = np.repeat(l - np.append(0, np.cumsum(c)[:-1]), c) + np.arange(c.sum())
+        r, doc_at = np.repeat(row[h], c), np.repeat(h - first[row[h]], c)
+        item, item_at = table.item[at], table.at[at]
+        order = np.lexsort((item, r))
+        r, item, item_at, doc_at = r[order], item[order], item_at[order], doc_at[order]
+        new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (item[1:] != item[:-1])))
+        for s, e in zip(new, np.append(new[1:], len(r)), strict=True):
+            if int(r[s]) != open_row:
+                yield from tiled()
+                open_row, held = int(r[s]), {}
+            held.setdefault(int(item[s]), []).append(runs(item_at[s:e], doc_at[s:e]))
+    yield from tiled()
 
 
 def _pairs(shared, least: float, item_type):
@@ -154,7 +189,7 @@ def _pairs(shared, least: float, item_type):
     return run
 
 
-def _clean(shared, least: float, text: str):
+def _clean(shared, least: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -168,14 +203,14 @@ def _clean(shared, least: float, text: str):
 
 
 def _blocks(benchmark: DataFrame, item_key: str, text: str, seed: int, block_words: int, whole: bool):
-    """Broadcast blocks, each collected by itself; an item is never split."""
+    """(number, blocks, broadcast block) of each block, collected by itself; an item is never split."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{text}`").alias("text")).filter("item is not null and text <> ''")
+    items = benchmark.select(col(item_key).alias("item"), col(text).alias("text")).filter("item is not null and text <> ''")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (block_words * 5)))
     for k in range(n):
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]
-        yield spark.sparkContext.broadcast(Block(sorted(rows, key=lambda r: (r[0], r[1])), seed, whole))
+        yield k, n, spark.sparkContext.broadcast(Block(sorted(rows, key=lambda r: (r[0], r[1])), seed, whole))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
@@ -191,21 +226,55 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_
     item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, item {benchmark.schema[item_key].dataType.simpleString()}, tiled_words long, item_words long, n_tiles long, longest_tile long"
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = None
-    for shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
+    rows = docs.select(col(key).alias("key"), col(text).alias("text"))
+    scratch, out = Scratch(docs.sparkSession, "leaks"), None
+    for k, n, shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
         part = rows.mapInArrow(_pairs(shared, coverage, item_type), schema)
+        if n > 1:  # one block is in memory at a time
+            part = scratch.write(part, str(k))
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("key").alias(key), F.col("item").alias(item_key), "tiled_words", "item_words", (F.col("tiled_words") / F.col("item_words")).alias("coverage"), "n_tiles", "longest_tile")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_id", text: str = "text", seed: int = SEED, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS, whole: bool = False) -> DataFrame:
     """``docs`` without the rows that ``find_leaks`` reports, in one pass a block and without a shuffle."""
-    for shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
-        docs = docs.mapInArrow(_clean(shared, coverage, text), docs.schema)
-    return docs
+    scratch, own = Scratch(docs.sparkSession, "clean"), docs.columns
+    rows = docs.select(*aliased(own))
+    for k, n, shared in _blocks(benchmark, item_key, text, seed, block_words, whole):
+        rows = rows.mapInArrow(_clean(shared, coverage, own.index(text)), rows.schema)
+        if n > 1:
+            rows = scratch.write(rows, str(k))
+            shared.destroy()
+            if k:
+                scratch.drop(str(k - 1))
+    return rows.select(*restored(own))
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True)
+
+
+OP3_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') as w from documents
+), b as (
+  select item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') as w from benchmark where item_id is not null
+), items as (select item_id, w, len(w) as m, least(5, len(w)) as k from b where len(w) > 0),
+item_seeds as materialized (select item_id, k, p, array_to_string(w[p:p + k - 1], ' ') as s from (select *, unnest(range(1, m - k + 2)) as p from items)),
+doc_seeds as (select r, k, p, array_to_string(w[p:p + k - 1], ' ') as s from (select r, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from items))),
+hits as materialized (select r, item_id, k, i.p as ip, j.p as jp from doc_seeds j join item_seeds i using (k, s)),
+rounds as (
+  select 0 as round, r, item_id, k, ip, jp, cast(null as bigint) as bi, cast(null as bigint) as bj, cast(0 as bigint) as bn from hits
+  union all
+  select round + 1, r, item_id, k, ip, jp, best.i, best.j, best.n from (
+    select *, first_value({'n': n, 'i': si, 'j': sj}) over (partition by r, item_id order by n desc, sj, si) as best from (
+      select *, count(*) over run + k - 1 as n, min(ip) over run as si, min(jp) over run as sj from (
+        select *, jp - row_number() over (partition by r, item_id, jp - ip order by jp) as island from rounds
+        where round = 0 or ((ip + k <= bi or ip >= bi + bn) and (jp + k <= bj or jp >= bj + bn))
+      ) window run as (partition by r, item_id, jp - ip, island)))
+), tiles as (select distinct round, r, item_id, bi, bj, bn from rounds where round > 0),
+found as (select r, item_id, cast(sum(bn) as bigint) as tiled_words, count(*) as n_tiles, max(bn) as longest_tile from tiles group by r, item_id)
+select doc_id, found.item_id, tiled_words, cast(m as bigint) as item_words, tiled_words / m as coverage, n_tiles, longest_tile
+from found join d on d.r = found.r join items on items.item_id = found.item_id where tiled_words >= 0.5 * m"""
