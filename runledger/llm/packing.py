@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.scratch import Scratch
+from runledger.llm.scratch import Scratch, col
 
 CAPACITY = 2048
 #: Pieces that one task packs, on average. A chunk's last open bins are what packing in chunks can waste.
 CHUNK_PIECES = 30_000
+#: Share of the tokens still to come that the gaps of open bins may have when one more is opened for the sake of the sum.
+FILLABLE = 0.25
 #: Words of which a worker keeps the ids; the cache starts anew beyond that.
 CACHED_WORDS = 1_000_000
 
@@ -108,13 +110,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     """Bin and offset of every item, placed in the given order.
 
     Putting an item into a bin of gap g with n(g) such bins changes the sum of squares by
-    2 * (n(g - item) - n(g)) + 2, or by 1 - 2 * n(g) for a bin it fills. Ties go to the smallest gap. A new bin is
-    opened only where no open one has room: on a finite table a bin opened for the sake of the sum stays unfilled.
+    2 * (n(g - item) - n(g)) + 2, or by 1 - 2 * n(g) for a bin it fills, and opening one by 2 * n(capacity - item) + 1.
+    Ties go to an open bin, of these to the smallest gap. The rule is made for items without end: a bin opened for the sake of the
+    sum near the end of a table stays unfilled. So it is only opened while all gaps are at most ``FILLABLE`` of what is still to come.
     """
     count = np.zeros(capacity + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, made, never = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, np.iinfo(np.int64).max
+    to_come, gaps = int(lengths.sum()), 0
     for k, size in enumerate(lengths.tolist()):
+        to_come -= size
         if size >= capacity:
             bins[k], made = made, made + 1
             continue
@@ -124,12 +129,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if count[size]:
             change[0] = 1 - 2 * count[size]
         best = int(change.argmin())
-        if change[best] < never:
+        opened = 2 * count[capacity - size] + 1
+        if change[best] < never and (change[best] <= opened or gaps + capacity - size > FILLABLE * to_come):
             gap = best + size
             bin_no = open_bins[gap].pop()
             count[gap] -= 1
+            gaps -= size
         else:
             gap, bin_no, made = capacity, made, made + 1
+            gaps += capacity - size
         bins[k], offsets[k] = bin_no, capacity - gap
         if gap - size:
             count[gap - size] += 1
@@ -200,7 +208,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     scratch = Scratch(spark, "packing")
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = df.select(col(key).alias("key"), col(text).alias("text"))
     pieces = scratch.write(rows.mapInArrow(_tokenize(tokenizer_path, end_id, capacity, with_ids), schema), "pieces")
     chunks = max(1, -(-pieces.filter(F.col("length") < capacity).count() // chunk_pieces))
     full = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

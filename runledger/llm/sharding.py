@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runledger.llm.scratch import Scratch
+from runledger.llm.scratch import Scratch, col
 
 #: Groups that one task differences at once, and rows that one task numbers at once, on average.
 CHUNK_GROUPS = 20_000
@@ -88,9 +88,9 @@ def assign_shards(df: DataFrame, n_shards: int = 24, key: str = "doc_id", text:
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "sharding")
-    t = F.col(f"`{text}`")
+    t = col(text)
     sized = df.select(
-        F.col(f"`{key}`").alias("key"),
+        col(key).alias("key"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(t, F.lit("")), "UTF-8")).alias("text_crc32"),
         F.coalesce(F.sha2(t, 256), F.lit("null")).alias("gkey"),
