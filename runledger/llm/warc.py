@@ -23,17 +23,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.scratch import Scratch
+from runledger.llm.scratch import Scratch, col
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 1000
-#: Stands in captures for a null key.
-UNNAMED = -(1 << 63)
 BLOCK_LINES = 1000
 SHARD_LINES = 200_000
 ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
-REFERS = "urn:capture:"
+REFERS, NULL = "urn:capture:", "null:"
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -60,12 +58,12 @@ def _line(x) -> str:
     return quote(str(x), safe="!#$&'()*+,;=:@/?-._~%[]")
 
 
-def record(kind: str, capture, url: str | None, payload: bytes, digest: bytes, refers=None) -> bytes:
-    """One WARC 1.1 record. A revisit holds the HTTP head alone, with the length of the payload it leaves out."""
+def record(kind: str, capture, named: bool, url: str | None, payload: bytes, digest: bytes, refers=None) -> bytes:
+    """One WARC 1.1 record; one without a name has a number that stands for its null key. A revisit holds the HTTP head alone, with the length of the payload it leaves out."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{REFERS}{capture}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url or '')}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{REFERS}{'' if named else NULL}{capture}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http; msgtype=response",
     ]
     if kind == "revisit":
@@ -89,7 +87,7 @@ def _write(folder: str, most: int):
         out, name, at = None, "", 0
         for batch in batches:
             rows: list[tuple] = []
-            for capture, url, page, refers in zip(*(batch.column(n).to_pylist() for n in ("capture", "url", "payload", "refers")), strict=True):
+            for capture, named, url, page, refers in zip(*(batch.column(n).to_pylist() for n in ("capture", "named", "url", "payload", "refers")), strict=True):
                 if out is None or at >= most:
                     if out is not None:
                         out.close()
@@ -97,13 +95,12 @@ def _write(folder: str, most: int):
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 payload = (page or "").encode()
                 kind = "response" if refers is None else "revisit"
-                raw = gzip.compress(record(kind, capture, url, payload, hashlib.sha1(payload).digest(), refers), 5, mtime=0)
+                raw = gzip.compress(record(kind, capture, named, url, payload, hashlib.sha1(payload).digest(), refers), 5, mtime=0)
                 out.write(raw)
-                rows.append((url_key(url), capture, name, at, len(raw)))
+                rows.append((url_key(url), capture, named, name, at, len(raw)))
                 at += len(raw)
             if rows:
-                keys, captures, names, offsets, lengths = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(captures, batch.schema.field("capture").type), pa.array(names), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=["urlkey", "capture", "file", "offset", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=LINE)
         if out is not None:
             out.close()
 
@@ -122,13 +119,13 @@ def _index(folder: str, block_lines: int):
             # A key's captures are never parted: look-ups read one block.
             raw = zlib.compress("\n".join(json.dumps(x, separators=(",", ":")) for x in held).encode(), 6)
             out.write(raw)
-            blocks.append([held[0][0], held[0][1], at, len(raw)])
+            blocks.append([*held[0][:3], at, len(raw)])
             at, held = at + len(raw), []
 
         for batch in batches:
-            for line in zip(*(batch.column(n).to_pylist() for n in ("urlkey", "capture", "file", "offset", "length")), strict=True):
+            for line in zip(*(batch.column(n).to_pylist() for n in LINE), strict=True):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-                if len(held) >= block_lines and held[-1][:2] != line[:2]:
+                if len(held) >= block_lines and held[-1][:3] != line[:3]:
                     flush()
                 held.append(line)
         if out is not None:
@@ -136,7 +133,7 @@ def _index(folder: str, block_lines: int):
             out.close()
             with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as f:
                 f.write(zlib.compress(json.dumps(blocks).encode(), 6))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blocks[0][0]]), pa.array([blocks[0][1]], pa.int64()), pa.array([len(blocks)], pa.int64())], names=["shard", "urlkey", "capture", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([blocks[0][0]]), pa.array([blocks[0][1]], pa.int64()), pa.array([blocks[0][2]]), pa.array([len(blocks)], pa.int64())], names=["shard", *KEY, "blocks"])
 
     return run
 
@@ -158,11 +155,11 @@ class Reader:
         return f.read_at(length, offset)
 
     def directory(self, shard: str) -> tuple[list[tuple], list[tuple]]:
-        """The blocks' first (urlkey, capture), and their (offset, length)."""
+        """The blocks' first keys, and their (offset, length)."""
         if self.shard[0] != shard:
             with self.fs.open_input_stream(f"{self.root}/{shard}.dir", compression=None) as f:
                 blocks = json.loads(zlib.decompress(f.read()))
-            self.shard = shard, [(b[0], b[1]) for b in blocks], [(b[2], b[3]) for b in blocks]
+            self.shard = shard, [tuple(b[:3]) for b in blocks], [(b[3], b[4]) for b in blocks]
         return self.shard[1:]
 
     def lines(self, shard: str, offset: int, length: int) -> list[list]:
@@ -172,7 +169,7 @@ class Reader:
 
 
 def _fetch(folder: str, tops: list[tuple], per_batch: int = 200):
-    """Records of sorted (urlkey, capture) rows. ``tops``: ((first urlkey, first capture), shard) in order."""
+    """Records of rows sorted by KEY. ``tops``: (first key, shard) in order."""
     firsts = [t[0] for t in tops]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +180,7 @@ def _fetch(folder: str, tops: list[tuple], per_batch: int = 200):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, FOUND, strict=True)], names=[n for n, _ in FOUND])
 
         for batch in batches:
-            for wanted in zip(batch.column("urlkey").to_pylist(), batch.column("capture").to_pylist(), strict=True):
+            for wanted in zip(*(batch.column(n).to_pylist() for n in KEY), strict=True):
                 if wanted == last:
                     continue
                 last = wanted
@@ -191,13 +188,13 @@ def _fetch(folder: str, tops: list[tuple], per_batch: int = 200):
                 starts, where = reader.directory(shard)
                 lines = reader.lines(shard, *where[max(0, bisect.bisect_right(starts, wanted) - 1)])
                 at = bisect.bisect_left(lines, list(wanted))
-                while at < len(lines) and tuple(lines[at][:2]) == wanted:
-                    key, capture, file, offset, length = lines[at]
+                while at < len(lines) and tuple(lines[at][:3]) == wanted:
+                    key, capture, named, file, offset, length = lines[at]
                     found = parse(gzip.decompress(reader.read(file, offset, length)))
                     h = found["headers"]
                     digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
                     refers = h.get("warc-refers-to")
-                    rows.append((capture, key, found["payload_bytes"], digest, h["warc-type"], int(refers[1:-1].removeprefix(REFERS)) if refers else None, found["payload"].decode()))
+                    rows.append((capture if named else None, key, found["payload_bytes"], digest, h["warc-type"], int(refers[1:-1].removeprefix(REFERS)) if refers else None, found["payload"].decode()))
                     at += 1
                 if len(rows) >= per_batch:
                     yield table()
@@ -208,55 +205,60 @@ def _fetch(folder: str, tops: list[tuple], per_batch: int = 200):
     return run
 
 
+#: What tells captures apart, in the order of the index, and the whole of an index line.
+KEY = ["urlkey", "capture", "named"]
+LINE = [*KEY, "file", "offset", "length"]
+#: A record found; capture is null for one without a name.
 FOUND = [("capture", pa.int64()), ("urlkey", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())]
 FOUND_SCHEMA = "capture long, urlkey string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
 def write_archives(pages: DataFrame, folder: str, scratch: Scratch, key: str = "page_id", url: str = "url", page: str = "html", least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes every row as a record and returns the captures (urlkey, capture, file, offset, length).
+    """Writes every row as a record and returns the captures (urlkey, capture, named, file, offset, length).
 
     Of payloads (UTF-8, null: empty) that are equal and of ``least_revisit`` bytes or more, the record of the largest
-    key is a response and the others revisit it. A null key is archived as ``UNNAMED``, the smallest; rows of one
-    key are each archived. A null URL has the key of an empty one. A task that runs again writes new files; only files
+    key is a response and the others revisit it. A null key is smaller than all others and revisits none of its kind: its
+    capture is a hash of URL and payload, not named. Rows of one key are each archived. A null URL has the key of an empty one. A task that runs again writes new files; only files
     named by returned rows count.
     """
     pafs_root = open_folder(folder)
     pafs_root[0].create_dir(pafs_root[1], recursive=True)
-    rows = pages.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(UNNAMED)).alias("capture"), F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("payload"))
-    digests = rows.select("capture", F.sha1("payload").alias("d"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least_revisit)
+    number = col(key).cast("long")
+    rows = pages.select(F.coalesce(number, F.xxhash64(col(url), col(page))).alias("capture"), number.isNotNull().alias("named"), col(url).alias("url"), col(page).alias("payload"))
+    digests = rows.select("capture", "named", F.sha1("payload").alias("d"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least_revisit)
     digests = scratch.write(digests, "digests")
-    last = scratch.write(digests.groupBy("d").agg(F.max("capture").alias("refers"), F.min("capture").alias("low")).filter("low < refers").select("d", "refers"), "last")
-    revisits = scratch.write(digests.join(last, "d").filter("capture < refers").select("capture", "refers", "d").distinct(), "revisits")
-    joined = rows.withColumn("_d", F.sha1("payload")).join(revisits.withColumnRenamed("capture", "_c"), (F.col("capture") == F.col("_c")) & (F.col("_d") == F.col("d")), "left")
-    wrote = joined.select("capture", "url", "payload", "refers").mapInArrow(_write(folder, archive_bytes), "urlkey string, capture long, file string, offset long, length long")
+    last = scratch.write(digests.groupBy("d").agg(F.max(F.when(F.col("named"), F.col("capture"))).alias("refers"), F.count("*").alias("c")).filter("refers is not null and c > 1").select("d", "refers"), "last")
+    revisits = scratch.write(digests.join(last, "d").filter("not named or capture < refers").select("capture", F.col("named").alias("_n"), "refers", "d").distinct(), "revisits")
+    joined = rows.withColumn("_d", F.sha1("payload")).join(revisits.withColumnRenamed("capture", "_c"), (F.col("capture") == F.col("_c")) & (F.col("named") == F.col("_n")) & (F.col("_d") == F.col("d")), "left")
+    wrote = joined.select("capture", "named", "url", "payload", "refers").mapInArrow(_write(folder, archive_bytes), "urlkey string, capture long, named boolean, file string, offset long, length long")
     return scratch.write(wrote, "captures")
 
 
 def build_index(captures: DataFrame, folder: str, scratch: Scratch, shard_lines: int = SHARD_LINES, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes the index and returns a row for each shard: shard (its file), first urlkey and capture, blocks.
+    """Writes the index and returns a row for each shard: shard (its file), its first KEY, blocks.
 
-    A shard is sorted by (urlkey, capture) and has about ``shard_lines`` lines, fewer where that gives the tasks
+    A shard is sorted by KEY and has about ``shard_lines`` lines, fewer where that gives the tasks
     of a small table something to share.
     """
     n = captures.count()
     shards = max(1, -(-n // shard_lines), min(48, n // block_lines))
-    ranged = captures.repartitionByRange(shards, "urlkey", "capture").sortWithinPartitions("urlkey", "capture", "file", "offset")
-    made = ranged.mapInArrow(_index(folder, block_lines), "shard string, urlkey string, capture long, blocks long")
+    ranged = captures.repartitionByRange(shards, *KEY).sortWithinPartitions(*KEY, "file", "offset")
+    made = ranged.mapInArrow(_index(folder, block_lines), "shard string, urlkey string, capture long, named boolean, blocks long")
     return scratch.write(made, "shards")
 
 
 def read_captures(wanted: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
-    """Records (``FOUND_SCHEMA``) of the wanted (urlkey, capture), each found through the index and read by its range.
+    """Records (``FOUND_SCHEMA``) of the wanted KEYs, each found through the index and read by its range.
 
     The shards' first keys come to the driver, a row for about ``SHARD_LINES`` captures. Keys that the index does
     not have give no rows; one wanted twice is read once.
     """
-    tops = sorted(((r.urlkey, r.capture), r.shard) for r in shards.select("urlkey", "capture", "shard").collect())
+    tops = sorted((tuple(r[:3]), r.shard) for r in shards.select(*KEY, "shard").collect())
     if not tops:
         return wanted.sparkSession.createDataFrame([], FOUND_SCHEMA)
-    keys = wanted.select("urlkey", "capture")
+    keys = wanted.select(*KEY)
     n = max(len(tops), int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keys.repartitionByRange(n, "urlkey", "capture").sortWithinPartitions("urlkey", "capture").mapInArrow(_fetch(folder, tops), FOUND_SCHEMA)
+    return keys.repartitionByRange(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(_fetch(folder, tops), FOUND_SCHEMA)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
@@ -265,7 +267,7 @@ def op7_query(spark, sf_dir: str) -> DataFrame:
     folder = f"{scratch.dir}/archives"
     captures = write_archives(pages, folder, scratch)
     found = read_captures(captures, build_index(captures, folder, scratch), folder)
-    return found.select(F.when(F.col("capture") != UNNAMED, F.col("capture")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(F.col("capture").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """
