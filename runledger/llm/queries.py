@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from runledger.llm.decontam import op3_query
+from runledger.llm.decontam import OP3_SQL, op3_query
 from runledger.llm.html_text import op10_query
 from runledger.llm.langid import op9_query
 from runledger.llm.line_dedup import OP5_SQL, op5_query
-from runledger.llm.near_dup import op4_query
+from runledger.llm.near_dup import OP4_SQL, op4_query
 from runledger.llm.packing import op6_query
 from runledger.llm.quality import op8_query
 from runledger.llm.sharding import op1_query
@@ -28,6 +28,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
+    "op3_greedy_tiling": OP3_SQL,
+    "op4_tensored_minhash": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op7_capture_index": OP7_SQL,
 }

@@ -268,8 +268,8 @@ def brute_lines(rows, least=10):
 def test_line_dedup(odd, none):
     from runledger.llm.line_dedup import dedup_lines
 
-    for bits in (12, 1 / 4096):  # an overfull filter only costs shuffle
-        got = dedup_lines(odd, bits_per_line=bits)
+    for bits, ranges in ((12, 1 << 20), (12, 64), (1 / 4096, 1 << 20)):  # an overfull filter only costs shuffle
+        got = dedup_lines(odd.repartition(37), bits_per_line=bits, range_bits=ranges)
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got.collect()), key=repr) == brute_lines(ROWS)
     assert got.columns == ["doc_id", "text", "shard", "key", "kept", "n_lines", "n_dropped", "kept_sha256"]
     assert dedup_lines(none).collect() == []
@@ -336,23 +336,27 @@ def test_capture_index(spark):
     from runledger.llm.scratch import Scratch
     from runledger.llm.warc import build_index, read_captures, url_key, write_archives
 
-    rows = [(k, f"http://h{k % 3}.org/p?x={k % 5}\r\nX: y#f", f"<p>{'long ' * 300}{k % 4}</p>" if k % 2 else f"short {k % 3}") for k in range(40)] + [(40, None, None), (None, "http://n.org", "z" * 2000), (41, "http://é.org/ü", ""), (5, "http://again.org", "again"), (42, "http://m.org", "z" * 2000)]
+    low = -(1 << 63)
+    rows = [(k, f"http://h{k % 3}.org/p?x={k % 5}\r\nX: y#f", f"<p>{'long ' * 300}{k % 4}</p>" if k % 2 else f"short {k % 3}") for k in range(40)]
+    rows += [(40, None, None), (None, "http://n.org", "z" * 2000), (None, "http://n.org", "z" * 2000), (None, None, None), (None, None, "n" * 1500), (None, "http://m.org", "n" * 1500), (41, "http://é.org/ü", ""), (5, "http://again.org", "again"), (42, "http://m.org", "z" * 2000), (low, "http://low.org", "z" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     s = Scratch(spark, "t")
     captures = write_archives(pages, f"{s.dir}/a", s, archive_bytes=2000)
     shards = build_index(captures, f"{s.dir}/a", s, shard_lines=9, block_lines=2)
     got = read_captures(captures, shards, f"{s.dir}/a").collect()
     assert len(got) == len(rows) and shards.count() > 1
-    by = collections.defaultdict(list)
-    for k, u, h in rows:
-        by[h or ""].append(-(1 << 63) if k is None else k)
-    texts = collections.Counter((k if k is not None else -(1 << 63), hashlib.sha1((h or "").encode()).hexdigest(), len((h or "").encode())) for k, _, h in rows)
+    tops = collections.defaultdict(lambda: None)
+    for k, _, h in rows:
+        if k is not None and len(h or "") >= 1000:
+            tops[h] = k if tops[h] is None else max(tops[h], k)
+    texts = collections.Counter((k, hashlib.sha1((h or "").encode()).hexdigest(), len((h or "").encode())) for k, _, h in rows)
     assert collections.Counter((r.capture, r.payload_digest, r.payload_bytes) for r in got) == texts
+    by = {hashlib.sha1((h or "").encode()).hexdigest(): h or "" for _, _, h in rows}
     for r in got:
-        top = next(max(v) for h, v in by.items() if hashlib.sha1(h.encode()).hexdigest() == r.payload_digest)
-        revisit = r.payload_bytes >= 1000 and r.capture < top
-        assert (r.record_type, r.refers_to) == (("revisit", top) if revisit else ("response", None)) and bool(r.payload) == (not revisit and r.payload_bytes > 0)
-    assert read_captures(spark.createDataFrame([("org,none)/", 1)], "urlkey string, capture long"), shards, f"{s.dir}/a").collect() == []
+        top = tops[by[r.payload_digest]]
+        revisit = top is not None and (r.capture is None or r.capture < top)
+        assert (r.record_type, r.refers_to) == (("revisit", top) if revisit else ("response", None)) and r.payload == ("" if revisit else by[r.payload_digest])
+    assert read_captures(spark.createDataFrame([("org,none)/", 1, True)], "urlkey string, capture long, named boolean"), shards, f"{s.dir}/a").collect() == []
     e = Scratch(spark, "t")
     nothing = write_archives(pages.filter("false"), f"{e.dir}/a", e)
     assert read_captures(nothing, build_index(nothing, f"{e.dir}/a", e), f"{e.dir}/a").collect() == []
