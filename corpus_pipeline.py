@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.decontam import drop_leaks
 from runledger.llm.line_dedup import dedup_lines
-from runledger.llm.near_dup import drop_near_duplicates
+from runledger.llm.near_dup import drop_near_duplicates, near_duplicates
 from runledger.llm.packing import pack_documents
 from runledger.llm.quality import keep_good, rules_from_tables
 from runledger.llm.scratch import Scratch
@@ -25,8 +25,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more."""
-    return drop_near_duplicates(docs, shingle=5, percent=80).select(docs.columns)
+    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more.
+
+    Line dedup has left of a near copy only what it does not share with an earlier document, which resembles nothing. So copies are
+    found among the whole texts of the documents that are left, and then among what is left of them. Documents that the
+    table does not have are compared by what is left of them alone; those without an id stay.
+    """
+    scratch = Scratch(spark, "near-dedup")
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    copies = near_duplicates(whole, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
+    left = scratch.write(docs.join(copies, "doc_id", "left_anti").select(docs.columns), "left")
+    return drop_near_duplicates(left, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
