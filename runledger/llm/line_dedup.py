@@ -31,6 +31,8 @@ RANGE_BITS, MOST_RANGES, LARGEST_RANGE = 1 << 20, 1 << 16, 1 << 26
 MOST_BITS = 1 << 30
 #: Distinct lines that a task holds before it sends them on, and hashes in a row that it sends.
 HELD, ROW_HASHES = 1_000_000, 512
+#: Bytes of text that are cut into lines at once; each takes some 60 bytes on the way.
+SLICE = 1 << 19
 BLANK = b" \t\n\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -97,7 +99,7 @@ def _hashes(ranges: int, least: int):
 
         for batch in batches:
             data, offsets = texts(batch.column(0))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 lo, hi = offsets[i], offsets[j]
                 hashed, row, *_ = line_keys(data[lo:hi], offsets[i : j + 1] - lo, least)
                 if len(hashed):
@@ -187,10 +189,11 @@ def twice_seen(src: DataFrame, scratch: Scratch, least: int, bits_per_line: floa
     while bits < min(bits_per_line * seen.count(), most_bits):
         bits *= 2
     parts = seen.mapInArrow(_segments(bits), "segment int, at binary").repartition("segment").sortWithinPartitions("segment")
+    made = scratch.write(parts.mapInArrow(_united, "segment int, bits binary"), "twice-seen")
     twice = np.zeros(bits // 8, np.uint8)  # bounded by most_bits
-    for r in parts.mapInArrow(_united, "segment int, bits binary").toLocalIterator():
+    for r in made.toLocalIterator():
         twice[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    scratch.drop("seen-before")
+    scratch.drop("seen-before", "twice-seen")
     return twice, bits
 
 
@@ -200,7 +203,7 @@ def _suspects(shared, bits: int, least: int):
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             ids, marks = batch.column("doc"), batch.column("mark")
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 lo, hi = offsets[i], offsets[j]
                 part = data[lo:hi]
                 hashed, row, start, stop, line = line_keys(part, offsets[i : j + 1] - lo, least)
