@@ -16,6 +16,8 @@ from runledger.llm.scratch import aliased, col, names
 
 #: Most labelled rows that the list is fitted on; those with the smallest hash of doc_id are taken.
 LABELLED_ROWS = 20_000
+#: Tasks that compute their statistics.
+FIT_TASKS = 32
 WINDOW = 5
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -202,7 +204,8 @@ def fit_rules(labelled: DataFrame, label: str = "quality", key: str = "doc_id",
     sample depends on the rows alone and not on their partitions.
     """
     known = labelled.select(F.struct(col(key).alias("key"), (col(label) == 0).cast("int").alias("bad")).alias("row"), F.coalesce(col("text"), F.lit("")).alias("t"))
-    picked = known.filter("row.bad is not null").orderBy(F.xxhash64("row.key"), "row.key", "t").limit(most_rows)
+    # Dealt out after the limit: their statistics are the work of tasks, not of the driver.
+    picked = known.filter("row.bad is not null").orderBy(F.xxhash64("row.key"), "row.key", "t").limit(most_rows).repartition(FIT_TASKS, "row.key")
     stats = _statistics(picked).select(F.xxhash64("row.key").alias("hash"), "row.key", "row.bad", *(feature(n).alias(n) for n in FEATURES))
     rows = sorted((r.asDict() for r in stats.collect()), key=lambda r: (r["hash"], str(r["key"]), r["bad"], *(r[n] for n in FEATURES)))
     return learn_rules(rows, **how)
