@@ -9,6 +9,7 @@ import sys
 import tempfile
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--monotonic-field", action="append", default=[])
     c.add_argument("--counter-field", action="append", default=[])
     c.add_argument("--plot")
-    c.add_argument("--plot-output", default="plot.svg")
+    c.add_argument("--plot-output", help="a file below the current folder; plot.png or plot.svg if not given")
+    c.add_argument("--plot-format", default="png", choices=("png", "svg"))
     c.add_argument("--plot-kind", default="line", choices=render.KINDS)
     c.add_argument("--plot-max-points", type=int, default=5000)
     c.add_argument("--overwrite-plot", action="store_true")
@@ -79,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--overwrite", action="store_true")
     c = sub.add_parser("generate")
     c.add_argument("profile", choices=gen.PROFILES)
-    for name, kind, default in (("seed", int, 0), ("duration", float, 10.0), ("sample-rate", float, 10.0), ("noise", float, 0.0), ("missing-rate", float, None), ("duplicate-rate", float, None)):
+    for name, kind, default in (("seed", int, 0), ("duration", float, 10.0), ("sample-rate", float, 10.0), ("noise", float, 0.05), ("missing-rate", float, None), ("duplicate-rate", float, None)):
         c.add_argument(f"--{name}", type=kind, default=default)
     c.add_argument("--format", default="jsonl", choices=("jsonl", "csv"))
     c.add_argument("--output")
@@ -153,11 +155,11 @@ def dispatch(a: argparse.Namespace) -> int:
     if a.verb == "inspect":
         source = _resolve(a.source, a.workspace)
         found = inspect_source(source, spark=spark_session(), input_format=a.format, monotonic_fields=a.monotonic_field, counter_fields=a.counter_field, **{f"{r}_field": v for r, v in roles.items()})
-        print(json.dumps(found.to_dict(), ensure_ascii=False, indent=2, sort_keys=True, default=str) if a.json else render.inspection_text(found, a.field, a.quality or True), end="" if not a.json else "\n")
+        print(json.dumps(found.to_dict(), ensure_ascii=False, indent=2, sort_keys=True, default=str) if a.json else render.inspection_text(found, a.field, a.quality), end="" if not a.json else "\n")
         if a.plot:
             spark = spark_session()
             records = sessions.Session.open(source).records(spark) if sessions.is_session(source) else records_of(parse_source(spark, source, a.format))
-            render.plot(cells_from(records), a.plot.split(","), safe_output(os.getcwd(), a.plot_output), roles["time"], a.plot_kind, a.plot_max_points, a.overwrite_plot)
+            render.plot(cells_from(records), [f.strip() for f in a.plot.split(",") if f.strip()], safe_output(os.getcwd(), a.plot_output or f"plot.{a.plot_format}"), roles["time"], a.plot_kind, a.plot_max_points, a.overwrite_plot)
         return 0
     if a.verb == "compare":
         found = compare_sessions([_resolve(s, a.workspace) for s in a.sources], a.field, a.goal, spark=spark_session())
@@ -219,7 +221,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     except KeyboardInterrupt:
         return 130
-    except (ValueError, OSError) as why:
+    except (ValueError, OSError, PySparkException) as why:
         print(f"error: {why}", file=sys.stderr)
         return 2
 

@@ -53,6 +53,6 @@ def compare(stats: DataFrame, baseline: str, goal_field: str | None = None, lowe
 def timing_context(ranges: DataFrame) -> DataFrame:
     """One row from ``ranges`` (session_id, start, end): the shared absolute range (null if disjoint) and the shared relative range from 0."""
     lo, hi = F.max("start"), F.min("end")
-    found = ranges.filter("start is not null").agg(lo.alias("lo"), hi.alias("hi"), F.min(F.col("end") - F.col("start")).alias("relative_end"), F.count("*").alias("sessions"))
+    found = ranges.filter("start is not null").agg(lo.alias("lo"), hi.alias("hi"), F.min(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))).alias("relative_end"), F.count("*").alias("sessions"))
     meets = F.col("lo") <= F.col("hi")
     return found.select("sessions", F.when(meets, F.col("lo")).alias("shared_start"), F.when(meets, F.col("hi")).alias("shared_end"), F.lit(0.0).alias("relative_start"), "relative_end")

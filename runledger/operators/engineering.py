@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.ordered import previous
+from runledger.operators.ordered import percentiles, previous
 
 LATENCY_SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
 
@@ -50,7 +50,7 @@ def control_metrics(points: DataFrame) -> DataFrame:
     )
 
 
-def network_metrics(packets: DataFrame) -> DataFrame:
+def network_metrics(packets: DataFrame, most_rows: int | None = None) -> DataFrame:
     """One row a session of ``packets`` (session_id, record_index, t, seq, latency, bytes); t, latency and bytes may be null.
 
     Sequences that are no integers, and negative latencies or bytes, are left out and counted. Loss is
@@ -62,8 +62,9 @@ def network_metrics(packets: DataFrame) -> DataFrame:
     distinct = seq.select("session_id", "seq").distinct().groupBy("session_id").agg(F.count("*").alias("d"))
     lat = packets.filter("latency >= 0").select("session_id", "record_index", "latency")
     late = previous(lat, ["session_id"], "record_index", ["latency"]).groupBy("session_id").agg(
-        F.avg("latency").alias("mean_latency"), F.percentile("latency", F.array(*map(F.lit, LATENCY_SHARES))).alias("p"), F.coalesce(F.avg(F.abs(F.col("latency") - F.col("prev.latency"))), F.lit(0.0)).alias("latency_jitter"),
+        F.avg("latency").alias("mean_latency"), F.coalesce(F.avg(F.abs(F.col("latency") - F.col("prev.latency"))), F.lit(0.0)).alias("latency_jitter"),
     )
+    shares = percentiles(lat, ["session_id"], "latency", LATENCY_SHARES, most_rows=most_rows)
     rest = packets.groupBy("session_id").agg(
         F.sum(F.when(F.col("bytes") >= 0, F.col("bytes"))).alias("total_bytes"), (F.max_by("t", F.when(F.col("t").isNotNull(), i)) - F.min_by("t", F.when(F.col("t").isNotNull(), i))).alias("duration"),
         F.count_if(F.col("seq") != F.floor("seq")).alias("non_integer_sequences"), F.count_if(F.col("latency") < 0).alias("negative_latencies"), F.count_if(F.col("bytes") < 0).alias("negative_bytes"),
@@ -71,7 +72,7 @@ def network_metrics(packets: DataFrame) -> DataFrame:
     width = F.col("hi") - F.col("lo") + 1
     names = [F.get("p", F.lit(k)).alias(f"latency_p{round(100 * s)}") for k, s in enumerate(LATENCY_SHARES)]
     warn = lambda c, what: F.when(F.col(c) > 0, F.format_string(f"%d {what} excluded", c))
-    return rest.join(order, "session_id", "left").join(distinct, "session_id", "left").join(late, "session_id", "left").select(
+    return rest.join(order, "session_id", "left").join(distinct, "session_id", "left").join(late, "session_id", "left").join(shares, "session_id", "left").select(
         "session_id", F.try_divide(width - F.col("d"), width).alias("packet_loss_estimate"), F.try_divide((F.col("n") - F.col("d")).cast("double"), "n").alias("duplicate_packet_rate"), "out_of_order_count",
         "mean_latency", F.get("p", F.lit(2)).alias("median_latency"), *names, "latency_jitter", "total_bytes",
         F.when(F.col("duration") > 0, F.col("total_bytes") / F.col("duration")).alias("throughput_bytes_per_second"), "non_integer_sequences", "negative_latencies", "negative_bytes",

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.cells import SERIES, is_missing
-from runledger.operators.ordered import affected, percentiles, previous, runs
+from runledger.operators.ordered import affected, percentiles, previous, runs_of
 from runledger.operators.timing import intervals
+from runledger.operators.written import written
 
 COLUMNS = ["session_id", "check_id", "severity", "field", "n", "affected", "evidence", "threshold", "explanation", "assumptions", "suggested_investigation"]
 
@@ -110,53 +111,86 @@ def large_integers(cells: DataFrame) -> DataFrame:
     return _where(cells, "invalid-values", (F.col("kind") == "int") & F.col("num").isNull(), {"exact_up_to": 1 << 53})
 
 
-def _numeric(cells: DataFrame, skip: Iterable[str] = (), only: Iterable[str] | None = None) -> DataFrame:
+def _numeric(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
     kept = cells.filter("num is not null").select(*SERIES, "record_index", "num")
-    kept = kept.filter(~F.col("field").isin(*skip)) if (skip := list(skip)) else kept
-    return kept if only is None else kept.filter(F.col("field").isin(*only))
+    return kept.filter(~F.col("field").isin(*skip)) if (skip := list(skip)) else kept
 
 
-def descents(cells: DataFrame, fields: Iterable[str], check: str) -> DataFrame:
-    """monotonicity-violation or counter-reset of the named fields."""
-    return _where(previous(_numeric(cells, only=list(fields)), SERIES, "record_index", ["num"]), check, F.col("num") < F.col("prev.num"))
+def near(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
+    """The numeric cells with the value before: what all checks of values read."""
+    return previous(_numeric(cells, skip), SERIES, "record_index", ["num"], "before")
 
 
-def constant_signal(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
-    flat = _numeric(cells, skip).groupBy(*SERIES).agg(F.count("*").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), F.min("record_index").alias("a"), F.max("record_index").alias("z")).filter("n >= 2 and lo = hi")
+def profile(steps: DataFrame, medians: bool = True, most_rows: int | None = None) -> DataFrame:
+    """A row a series of ``near``: number, extremes, mean, deviation, first and last record, descents, and the medians of values, steps and deviations."""
+    i, fell = F.col("record_index"), F.when(F.col("num") < F.col("before.num"), F.col("record_index"))
+    one = steps.groupBy(*SERIES).agg(
+        F.count("*").alias("n"), F.min("num").alias("lo"), F.max("num").alias("hi"), F.avg("num").alias("mean"), F.stddev_samp("num").alias("sd"), F.min(i).alias("a"), F.max(i).alias("z"),
+        F.count(fell).alias("falls"), F.min(fell).alias("fall_a"), F.max(fell).alias("fall_z"),
+    )
+    if not medians:
+        return one
+    step = steps.select(*SERIES, F.abs(F.col("num") - F.col("before.num")).alias("step")).filter("step is not null")
+    middle = _with_medians(steps, "num", "median", most_rows)
+    away = steps.join(middle, SERIES).withColumn("dev", F.abs(F.col("num") - F.col("median")))
+    return one.join(middle, SERIES).join(_with_medians(away, "dev", "mad", most_rows), SERIES).join(_with_medians(step, "step", "base", most_rows), SERIES, "left")
+
+
+def descents(cells: DataFrame, fields: Iterable[str], check: str, of: DataFrame | None = None) -> DataFrame:
+    """monotonicity-violation or counter-reset of the named fields. Here and below ``of`` is the profile, where it is made already."""
+    of = profile(near(cells), False) if of is None else of
+    found = of.filter(F.col("field").isin(*fields) & (F.col("falls") > 0))
+    return _rows(found, check, F.col("falls"), affected(F.col("fall_a"), F.col("fall_z")), {"count": F.col("falls")}, field=F.col("field"))
+
+
+def constant_signal(cells: DataFrame, skip: Iterable[str] = (), of: DataFrame | None = None) -> DataFrame:
+    flat = (profile(near(cells, skip), False) if of is None else of).filter("n >= 2 and lo = hi")
     return _rows(flat, "constant-signal", F.col("n"), affected(F.col("a"), F.col("z")), {"value": F.col("lo")}, field=F.col("field"))
 
 
-def frozen_values(cells: DataFrame, skip: Iterable[str] = (), least: int = 5) -> DataFrame:
-    values = _numeric(cells, skip)
-    longest = runs(values, SERIES, "record_index", "num").groupBy(*SERIES).agg(F.min_by(F.struct("start", "end", "length"), F.struct(-F.col("length"), "start")).alias("r"))
-    sized = longest.join(values.groupBy(*SERIES).agg(F.count("*").alias("n")), SERIES).filter((F.col("r.length") >= least) & (F.col("r.length") < F.col("n")))
+def frozen_values(cells: DataFrame, skip: Iterable[str] = (), least: int = 5, steps: DataFrame | None = None) -> DataFrame:
+    steps = near(cells, skip) if steps is None else steps
+    longest = runs_of(steps, SERIES, "record_index", "num", "before").groupBy(*SERIES).agg(F.min_by(F.struct("start", "end", "length"), F.struct(-F.col("length"), "start")).alias("r"))
+    sized = longest.join(steps.groupBy(*SERIES).agg(F.count("*").alias("n")), SERIES).filter((F.col("r.length") >= least) & (F.col("r.length") < F.col("n")))
     return _rows(sized, "frozen-values", F.col("r.length"), affected(F.col("r.start"), F.col("r.end")), {"length": F.col("r.length")}, {"least": least}, field=F.col("field"))
 
 
-def _with_medians(values: DataFrame, column: str, name: str, most_rows: int | None = None) -> DataFrame:
-    found = percentiles(values.filter(F.col(column).isNotNull()), SERIES, column, [0.5], "_m", most_rows)
-    return found.select(*SERIES, F.get("_m", F.lit(0)).alias(name))
+def _with_medians(values: DataFrame, column: str, name: str, most_rows: int | None) -> DataFrame:
+    return percentiles(values, SERIES, column, [0.5], "_m", most_rows=most_rows).select(*SERIES, F.get("_m", F.lit(0)).alias(name))
 
 
-def outliers(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
-    values = _numeric(cells, skip)
-    middle = _with_medians(values, "num", "median").join(values.groupBy(*SERIES).agg(F.count("*").alias("total")), SERIES).filter("total >= 5")
-    away = values.join(middle, SERIES).withColumn("dev", F.abs(F.col("num") - F.col("median")))
-    judged = away.join(_with_medians(away, "dev", "mad"), SERIES)
-    return _where(judged, "outliers", F.when(F.col("mad") > 0, F.col("dev") > 6 * F.col("mad")).otherwise(F.col("num") != F.col("median")), {"deviations": 6}, {"median": F.col("median"), "mad": F.col("mad")})
+def judged(steps: DataFrame, of: DataFrame) -> DataFrame:
+    """A row a series with its outliers and spikes, in one pass: their numbers, first and last records."""
+    row = steps.join(of.filter("n >= 5").select(*SERIES, "median", "mad", "base"), SERIES)
+    step = F.abs(F.col("num") - F.col("before.num"))
+    out = F.when(F.col("mad") > 0, F.abs(F.col("num") - F.col("median")) > 6 * F.col("mad")).otherwise(F.col("num") != F.col("median"))
+    spike = F.when(F.col("base") > 0, step > 10 * F.col("base")).otherwise(step > 0)
+    parts = [F.first(c).alias(c) for c in ("median", "mad", "base")]
+    for name, c in (("out", out), ("spike", spike)):
+        hit = F.when(c, F.col("record_index"))
+        parts += [F.count(hit).alias(f"{name}_n"), F.min(hit).alias(f"{name}_a"), F.max(hit).alias(f"{name}_z")]
+    return row.groupBy(*SERIES).agg(*parts)
 
 
-def sudden_spikes(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
-    values = _numeric(cells, skip)
-    steps = previous(values, SERIES, "record_index", ["num"]).select(*SERIES, "record_index", F.abs(F.col("num") - F.col("prev.num")).alias("step"))
-    enough = values.groupBy(*SERIES).agg(F.count("*").alias("total")).filter("total >= 5")
-    judged = steps.join(_with_medians(steps, "step", "base").join(enough, SERIES), SERIES)
-    return _where(judged, "sudden-spikes", F.when(F.col("base") > 0, F.col("step") > 10 * F.col("base")).otherwise(F.col("step") > 0), {"times_median": 10}, {"median_step": F.col("base")})
+def _judged(cells: DataFrame, skip: Iterable[str]) -> DataFrame:
+    steps = near(cells, skip)
+    return judged(steps, profile(steps))
 
 
-def high_noise(cells: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
-    found = _numeric(cells, skip).groupBy(*SERIES).agg(F.count("*").alias("n"), F.stddev_samp("num").alias("sd"), F.avg("num").alias("mean"), F.min("record_index").alias("a"), F.max("record_index").alias("z"))
-    found = found.filter("n >= 5 and mean <> 0 and sd / abs(mean) > 0.5")
+def outliers(cells: DataFrame, skip: Iterable[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """``of``: the result of ``judged``, where it is made already."""
+    found = (_judged(cells, skip) if of is None else of).filter("out_n > 0")
+    return _rows(found, "outliers", F.col("out_n"), affected(F.col("out_a"), F.col("out_z")), {"count": F.col("out_n"), "median": F.col("median"), "mad": F.col("mad")}, {"deviations": 6}, F.col("field"))
+
+
+def sudden_spikes(cells: DataFrame, skip: Iterable[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """``of``: the result of ``judged``, where it is made already."""
+    found = (_judged(cells, skip) if of is None else of).filter("spike_n > 0")
+    return _rows(found, "sudden-spikes", F.col("spike_n"), affected(F.col("spike_a"), F.col("spike_z")), {"count": F.col("spike_n"), "median_step": F.col("base")}, {"times_median": 10}, F.col("field"))
+
+
+def high_noise(cells: DataFrame, skip: Iterable[str] = (), of: DataFrame | None = None) -> DataFrame:
+    found = (profile(near(cells, skip), False) if of is None else of).filter("n >= 5 and mean <> 0 and sd / abs(mean) > 0.5")
     return _rows(found, "high-noise", F.col("n"), affected(F.col("a"), F.col("z")), {"ratio": F.col("sd") / F.abs("mean")}, {"ratio": 0.5}, field=F.col("field"))
 
 
@@ -172,23 +206,24 @@ def duplicate_timestamps(times: DataFrame, field: str = "t") -> DataFrame:
     return _named(_where(late, "duplicate-timestamps", F.lit(True)), field)
 
 
-def backwards(times: DataFrame, field: str = "t") -> DataFrame:
-    return _named(_where(intervals(times), "timestamps-backwards", F.col("dt") < 0), field)
+def backwards(times: DataFrame, field: str = "t", steps: DataFrame | None = None) -> DataFrame:
+    """``steps``, here and below: the result of ``intervals``, where it is made already."""
+    return _named(_where(intervals(times) if steps is None else steps, "timestamps-backwards", F.col("dt") < 0), field)
 
 
-def _against_median(times: DataFrame) -> DataFrame:
-    steps = intervals(times)
-    positive = F.when(F.col("dt") > 0, F.col("dt"))
-    middle = steps.groupBy("session_id").agg(F.percentile(positive, F.lit(0.5)).alias("median"), F.count(positive).alias("positives")).filter("positives > 2")
-    return steps.join(middle, "session_id").filter("dt > 0")
+def _against_median(times: DataFrame, steps: DataFrame | None, most_rows: int | None) -> DataFrame:
+    steps = (intervals(times) if steps is None else steps).filter("dt > 0")
+    middle = percentiles(steps, ["session_id"], "dt", [0.5], most_rows=most_rows).select("session_id", F.get("p", F.lit(0)).alias("median"))
+    enough = steps.groupBy("session_id").agg(F.count("*").alias("positives")).filter("positives > 2")
+    return steps.join(middle.join(enough, "session_id"), "session_id")
 
 
-def irregular_timing(times: DataFrame, field: str = "t") -> DataFrame:
-    return _named(_where(_against_median(times), "irregular-timing", F.abs(F.col("dt") - F.col("median")) > 0.2 * F.col("median"), {"share": 0.2}, {"median": F.col("median")}), field)
+def irregular_timing(times: DataFrame, field: str = "t", steps: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
+    return _named(_where(_against_median(times, steps, most_rows), "irregular-timing", F.abs(F.col("dt") - F.col("median")) > 0.2 * F.col("median"), {"share": 0.2}, {"median": F.col("median")}), field)
 
 
-def large_gaps(times: DataFrame, field: str = "t") -> DataFrame:
-    return _named(_where(_against_median(times), "large-timing-gaps", F.col("dt") > 2 * F.col("median"), {"times_median": 2}, {"median": F.col("median")}), field)
+def large_gaps(times: DataFrame, field: str = "t", steps: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
+    return _named(_where(_against_median(times, steps, most_rows), "large-timing-gaps", F.col("dt") > 2 * F.col("median"), {"times_median": 2}, {"median": F.col("median")}), field)
 
 
 def packet_loss(sequences: DataFrame, field: str = "seq") -> DataFrame:
@@ -204,17 +239,23 @@ def non_integer_sequences(sequences: DataFrame, field: str = "seq") -> DataFrame
     return _named(_where(sequences, "invalid-values", F.col("seq") != F.floor("seq")), field)
 
 
-def all_findings(sessions: DataFrame, records: DataFrame, cells: DataFrame, times: DataFrame | None = None, time_field: str | None = None, sequences: DataFrame | None = None, sequence_field: str | None = None, monotonic: Iterable[str] = (), counters: Iterable[str] = ()) -> DataFrame:
-    """Findings of all checks. A time or sequence field is only checked as such, and for missing values and types."""
+def all_findings(sessions: DataFrame, records: DataFrame, cells: DataFrame, times: DataFrame | None = None, time_field: str | None = None, sequences: DataFrame | None = None, sequence_field: str | None = None, monotonic: Iterable[str] = (), counters: Iterable[str] = (), most_rows: int | None = None) -> DataFrame:
+    """Findings of all checks. A time or sequence field is only checked as such, and for missing values and types.
+
+    Values beside the value before them, a profile a series, and intervals are written once; the checks of values and of timing read these. ``most_rows``: see ``percentiles``.
+    """
     skip = [f for f in (time_field, sequence_field) if f]
     parts = [empty_data(sessions, records), duplicate_rows(records), shape_change(records), length_change(records), missing_values(cells, records), type_change(cells), large_integers(cells)]
-    if monotonic := [f for f in monotonic if f not in skip]:
-        parts.append(descents(cells, monotonic, "monotonicity-violation"))
-    if counters := [f for f in counters if f not in skip]:
-        parts.append(descents(cells, counters, "counter-reset"))
-    parts += [constant_signal(cells, skip), frozen_values(cells, skip), outliers(cells, skip), sudden_spikes(cells, skip), high_noise(cells, skip)]
+    steps = written(near(cells, skip), "near")
+    of = written(profile(steps, most_rows=most_rows), "profile")
+    marks = written(judged(steps, of), "judged")
+    for fields, check in ((monotonic, "monotonicity-violation"), (counters, "counter-reset")):
+        if named := [f for f in fields if f not in skip]:
+            parts.append(descents(cells, named, check, of))
+    parts += [constant_signal(cells, of=of), frozen_values(cells, steps=steps), outliers(cells, of=marks), sudden_spikes(cells, of=marks), high_noise(cells, of=of)]
     if times is not None:
-        parts += [f(times, time_field or "t") for f in (duplicate_timestamps, backwards, irregular_timing, large_gaps)]
+        at, name = written(intervals(times), "intervals"), time_field or "t"
+        parts += [duplicate_timestamps(times, name), backwards(times, name, at), *(f(times, name, at, most_rows) for f in (irregular_timing, large_gaps))]
     if sequences is not None:
         parts += [f(sequences, sequence_field or "seq") for f in (packet_loss, non_integer_sequences)]
     out = parts[0].select(*COLUMNS)

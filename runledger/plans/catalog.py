@@ -7,6 +7,7 @@ significant digits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from runledger.operators import downsample as down
 from runledger.operators import findings as q
 from runledger.operators.cells import cells_of, infer_types
 from runledger.operators.engineering import control_metrics, network_metrics
-from runledger.operators.ordered import percentiles, runs, samples, with_index
+from runledger.operators.ordered import ACCURACY, percentiles, runs, samples, with_index
 from runledger.operators.stats import SHARES, exact_sums, numeric_summary
 from runledger.operators.timing import timing_metrics
+from runledger.plans import user_paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,22 +125,22 @@ def m_numeric_summary_lineitem(spark, d):
 PERCENTILES_SQL = f"{LIC} select session_id, field, " + ", ".join(f"{sig(f'quantile_cont(num, {s})')} as p{round(100 * s)}" for s in SHARES) + " from cells group by session_id, field"
 
 
-def _percentiles(spark, d, most):
+def _percentiles(spark, d, accuracy):
     cells = cells_of(lines(spark, d), LI_FIELDS)
-    found = percentiles(cells, ["session_id", "field"], "num", SHARES, most_rows=most)
+    found = percentiles(cells, ["session_id", "field"], "num", SHARES, accuracy=accuracy)
     named = [f"p{round(100 * s)}" for s in SHARES]
     return rounded(found.select("session_id", "field", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(named)]), *named)
 
 
 @query("m_percentiles", PERCENTILES_SQL)
 def m_percentiles(spark, d):
-    return _percentiles(spark, d, None)
+    return _percentiles(spark, d, ACCURACY)
 
 
 @query("m_percentiles_by_rank", PERCENTILES_SQL)
 def m_percentiles_by_rank(spark, d):
-    """The same percentiles by ranks, as groups too large for memory need them."""
-    return _percentiles(spark, d, 0)
+    """The same percentiles from a coarse sketch, so that groups of these sizes too are cut and counted."""
+    return _percentiles(spark, d, 100)
 
 
 @query("m_order_change", f"{ORC}, {VALID} select session_id, field, {sig('arg_max(num, record_index) - arg_min(num, record_index)')} as rate_of_change, {sig('avg(abs(num - p))')} as mean_absolute_difference from v group by session_id, field")
@@ -152,6 +154,14 @@ def m_sum_exact(spark, d):
     return exact_sums(cells_of(lines(spark, d), LI_FIELDS))
 
 
+@query("m_sum_compensated", f"with {LI} select session_id, 'sum' as field, cast(sum(cast(cast(quantity as integer) as hugeint)) as double) as sum from li group by session_id")
+def m_sum_compensated(spark, d):
+    """Each quantity beside 1e16 and -1e16, at its two neighbours in order: a plain sum of doubles loses it."""
+    i, big = F.col("record_index"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(1e16).alias("num")), F.struct(F.lit(1).alias("k"), F.col("quantity").alias("num")), F.struct(F.lit(2).alias("k"), F.lit(-1e16).alias("num"))))
+    cells = lines(spark, d).select("session_id", "record_index", "quantity", big.alias("c")).select("session_id", (i * 3 + F.col("c.k")).alias("record_index"), F.lit("sum").alias("field"), "c.num")
+    return numeric_summary(cells).select("session_id", "field", "sum")
+
+
 @query("m_sparkline_samples", f"""{EVC}, r as (select *, row_number() over (partition by session_id, field order by record_index) - 1 as pos, count(*) over (partition by session_id, field) as n from cells where num is not null),
 w as (select distinct session_id, field, cast(case when n <= 40 then i else round_even(i * (n - 1) / 39.0, 0) end as bigint) as pos from (select distinct session_id, field, n from r), range(40) x(i) where i < n)
 select session_id, field, cast(row_number() over (partition by session_id, field order by pos) - 1 as integer) as sample, num from r join w using (session_id, field, pos)""")
@@ -475,14 +485,44 @@ def x_unique_labels(spark, d):
     return named.select("l_orderkey", "position", "label")
 
 
-@query("g_downsample", f"""with {EV}, p as (select session_id, record_index, t as x, value as y, row_number() over (partition by session_id order by record_index) - 1 as i, count(*) over (partition by session_id) as n from ev where value is not null),
-b as (select *, ((i + 1) * 199 - 1) // n as b from p where n > 400), e as (select session_id, b, min(y) as lo, max(y) as hi from b group by all), g as (select session_id, min(y) as lo, max(y) as hi from b group by all),
+def downsample_sql(most: int) -> str:
+    """The rule over ``p`` (session_id, record_index, x, y, i, n)."""
+    buckets = (max(most, 4) - 2) // 2
+    return f"""b as (select *, ((i + 1) * {buckets} - 1) // n as b from p where n > {most}), e as (select session_id, b, min(y) as lo, max(y) as hi from b group by all),
 k as (select b.session_id, min(i) as i from b join e on b.session_id = e.session_id and b.b = e.b and y = lo group by b.session_id, b.b union select b.session_id, max(i) from b join e on b.session_id = e.session_id and b.b = e.b and y = hi group by b.session_id, b.b
-  union select session_id, 0 from b union select session_id, n - 1 from b union select b.session_id, min(i) from b join g using (session_id) where y = g.lo group by b.session_id union select b.session_id, max(i) from b join g using (session_id) where y = g.hi group by b.session_id)
-select session_id, record_index, {sig('x')} as x, y from p where n <= 400 union all select p.session_id, record_index, {sig('x')}, y from p join k using (session_id, i) where n > 400""")
+  union select session_id, min(i) from b group by session_id, b union select session_id, max(i) from b group by session_id, b),
+g as (select session_id, min(y) as lo, max(y) as hi from b group by all),
+r as (select session_id, 0 as i from b union select session_id, n - 1 from b union select b.session_id, min(i) from b join g using (session_id) where y = g.lo group by b.session_id union select b.session_id, max(i) from b join g using (session_id) where y = g.hi group by b.session_id),
+x as (select *, row_number() over (partition by session_id order by i) - 1 as place, count(*) over (partition by session_id) as m from (select * from k except select * from r)),
+u as (select session_id, {most} - count(*) as budget from r group by session_id),
+j as (select session_id, range as j, budget, m from u join (select distinct session_id, m from x) using (session_id), range({most}) where range < budget),
+t as (select session_id, cast(case when m <= budget then j when budget = 1 then 0 else round_even(j * (m - 1) / (budget - 1.0), 0) end as bigint) as place from j),
+kept as (select session_id, i from x join t using (session_id, place) union select session_id, i from r)
+select session_id, record_index, {sig('x')} as x, y from p where n <= {most} union all select p.session_id, record_index, {sig('x')}, y from p join kept using (session_id, i) where n > {most}"""
+
+
+EV_POINTS = f"with {EV}, p as (select session_id, record_index, t as x, value as y, row_number() over (partition by session_id order by record_index) - 1 as i, count(*) over (partition by session_id) as n from ev where value is not null)"
+
+
+def _value_series(spark, d) -> DataFrame:
+    return events(spark, d).select("session_id", F.lit("value").alias("field"), "record_index", F.col("t").alias("x"), F.col("value").alias("y"))
+
+
+@query("g_downsample", f"{EV_POINTS}, {downsample_sql(400)}")
 def g_downsample(spark, d):
-    series = events(spark, d).select("session_id", F.lit("value").alias("field"), "record_index", F.col("t").alias("x"), F.col("value").alias("y"))
-    return rounded(down.downsample(series, 400).select("session_id", "record_index", "x", "y"), "x")
+    return rounded(down.downsample(_value_series(spark, d), 400).select("session_id", "record_index", "x", "y"), "x")
+
+
+@query("g_downsample_thinned", f"{EV_POINTS}, {downsample_sql(9)}")
+def g_downsample_thinned(spark, d):
+    """A budget that buckets of up to four points exceed: anchors stay, the others are thinned evenly."""
+    return rounded(down.downsample(_value_series(spark, d), 9).select("session_id", "record_index", "x", "y"), "x")
+
+
+@query("g_histogram_values", f"{EV_POINTS}, w as (select distinct session_id, j, cast(case when n <= 15 then j else round_even(j * (n - 1) / 14.0, 0) end as bigint) as i, n from p, range(15) x(j) where j < n), v as (select session_id, j, y, n, count(*) over (partition by session_id) as size from w join p using (session_id, i, n)), g as (select session_id, min(y) as lo, max(y) as hi from p group by all), h as (select session_id, bool_or(y = lo) as has_lo, bool_or(y = hi) as has_hi from v join g using (session_id) group by all) select session_id, cast(j as integer) as i, case when n > 15 and j = 0 and not has_lo then lo when n > 15 and j = size - 1 and not has_hi then hi else y end as y from v join g using (session_id) join h using (session_id)")
+def g_histogram_values(spark, d):
+    """The values that a histogram of a bounded number is drawn from."""
+    return down.histogram_values(_value_series(spark, d), 15).select("session_id", "i", "y")
 
 
 @query("g_missing_markers", f"with {EV}, p as (select session_id, record_index, row_number() over (partition by session_id order by record_index) - 1 as i from ev where record_index % 17 = 0), n as (select session_id, count(*) as n from p group by all), w as (select distinct session_id, cast(case when n <= 20 then j else round_even(j * (n - 1) / 19.0, 0) end as bigint) as i from n, range(20) x(j) where j < n) select session_id, record_index from p join w using (session_id, i)")
@@ -542,9 +582,12 @@ def f_sha256(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("o_findings_order", _or_parts())
+@query("o_findings_order", f"select row_number() over (order by session_id, check_id, coalesce(field, ''), affected) - 1 as place, * from ({_or_parts()})")
 def o_findings_order(spark, d):
-    return q_all_findings(spark, d)
+    """Findings as a reader gets them, each with its place."""
+    found = q_all_findings(spark, d)
+    rows = [(k, *r) for k, r in enumerate(found.toLocalIterator())]
+    return spark.createDataFrame(rows, f"place long, {', '.join(f'{n} {t}' for n, t in found.dtypes)}")
 
 
 @query("x07_replay_delays", f"with {OR}, d as (select session_id, record_index, case when record_index % 7 <> 3 then t end as t from od), l as (select *, last_value(t ignore nulls) over (partition by session_id order by record_index rows between unbounded preceding and 1 preceding) as before from d) select session_id, record_index, {sig('greatest(0, coalesce((t - before) / 2, 0))')} as delay_s from l")
@@ -560,26 +603,56 @@ def _generated(profile: str, **how):
     def run(spark, d):
         from runledger.sources.generate import generate
 
-        made = generate(spark, profile, duration=100.0, **how)
-        floats = [c for c, t in made.dtypes if t == "double"]
-        return rounded(made, *floats)
+        made = generate(spark, profile, duration=100.0, noise=0.0, **how)
+        return made.select("record_index", *[(F.round(F.col(c) * 1e6) / 1e6 + 0.0).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes if c != "record_index"])
 
     return run
 
 
 GEN_SQL = {
     "sine": "sin(2 * pi() * t) as value", "noisy-sensor": "20 + sin(t) as value", "frozen-sensor": "case when t between 35 and 70 then 20.0 else 20 + sin(t) end as value",
+    "missing-samples": "20 + sin(t) as value", "duplicate-samples": "20 + sin(t) as value",
     "pid-response": "1.0::double as target, 1 - exp(-t) * (cos(2 * t) + 0.2 * sin(2 * t)) as response, exp(-t) * (cos(2 * t) + 0.2 * sin(2 * t)) as error",
     "motor-speed": "1500.0::double as target_rpm, 1500 * (1 - exp(-t / 1.5)) as speed_rpm, 2 + 8 * exp(-t) as current_a", "battery-drain": "4.2 - 1.2 * t / 100 as voltage_v, 0.5::double as current_a",
-    "network-latency": "i as sequence, 20.0::double as latency_ms, 1024::bigint as bytes",
+    "network-latency": "i as sequence, 20.0::double as latency_ms, 1024::bigint as bytes", "packet-loss": "i as sequence, 20.0::double as latency_ms, 1024::bigint as bytes",
 }
-for _profile in ("sine", "noisy-sensor", "frozen-sensor", "missing-samples", "duplicate-samples", "pid-response", "motor-speed", "battery-drain", "network-latency", "packet-loss"):
+
+
+def generated_sql(profile: str, rows: str = "select i from range(1001) x(i)") -> str:
+    """``rows``: the times' numbers, in order of ``at`` where one comes twice."""
+    cols = re.findall(r"as (\w+)(?:, |$)", GEN_SQL[profile])
+    out = ", ".join(c if c in ("sequence", "bytes") else f"round({c} * 1e6) / 1e6 + 0.0 as {c}" for c in ["timestamp", *cols])
+    return f"select row_number() over (order by i) - 1 as record_index, {out} from (select i, t as timestamp, {GEN_SQL[profile]} from (select i, i / 10.0 as t from ({rows})))"
+
+
+#: Rates of 0 leave the anomalies out; of 1 they hit every record that they can hit: no draw is left to chance.
+for _profile in GEN_SQL:
     _name = f"gen_{_profile.replace('-', '_')}"
-    QUERIES[_name] = _generated(_profile)
-    if _profile in GEN_SQL and _profile not in ("sine", "pid-response"):  # values near a zero have no nine digits in common
-        _cols = [x.rsplit(" as ", 1)[1] for x in GEN_SQL[_profile].split(", ") if " as " in x]
-        _out = ", ".join(c if c in ("sequence", "bytes") else f"{sig(c)} as {c}" for c in ["timestamp", *_cols])
-        ORACLES[_name] = f"select i as record_index, {_out} from (select i, t as timestamp, {GEN_SQL[_profile]} from (select i, i / 10.0 as t from range(1001) x(i)))"
+    if _profile == "missing-samples" or _profile == "packet-loss":
+        QUERIES[_name], ORACLES[_name] = _generated(_profile, missing_rate=1.0), generated_sql(_profile, "select 0 as i")
+    elif _profile == "duplicate-samples":
+        QUERIES[_name], ORACLES[_name] = _generated(_profile, duplicate_rate=1.0), generated_sql(_profile, "select i from range(1001) x(i) union all select i from range(1000) y(i)")
+    else:
+        QUERIES[_name], ORACLES[_name] = _generated(_profile), generated_sql(_profile)
+
+
+@query("gen_rates", "select * from (values ('packet-loss', true, true, true), ('missing-samples', true, true, true), ('duplicate-samples', true, true, true), ('sine', true, true, true)) v(profile, first_kept, middle, share)")
+def gen_rates(spark, d):
+    """Of the default rates: row 0 is never dropped, the middle is hit for sure, and a tenth is hit, give or take; a sine has neither."""
+    from runledger.sources.generate import generate
+
+    parts = []
+    for profile in ("packet-loss", "missing-samples", "duplicate-samples", "sine"):
+        made = generate(spark, profile, seed=3, duration=1000.0)
+        at = F.round(F.col("timestamp") * 10)
+        count = made.agg(F.count("*").alias("n"), F.count_if(at == 0).alias("first"), F.count_if(at == 5000).alias("middle"), F.count_if(at == 4999).alias("before"))
+        least, most = {"duplicate-samples": (10_800, 11_200), "sine": (10_001, 10_001)}.get(profile, (8800, 9200))
+        middle = F.col("before") == 2 if profile == "duplicate-samples" else F.col("middle") == (1 if profile == "sine" else 0)
+        parts.append(count.select(F.lit(profile).alias("profile"), (F.col("first") >= 1).alias("first_kept"), middle.alias("middle"), F.col("n").between(least, most).alias("share")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _text_query(kind: str, line, pairs: str):
@@ -640,20 +713,6 @@ def s_csv_document(spark, d):
     return rounded(cells.groupBy("session_id", "field", "kind").agg(F.count("*").alias("n"), F.sum("num").alias("total")))
 
 
-@query("s_detect")
-def s_detect(spark, d):
-    """The detected format of a written text of each line format."""
-    from runledger.plans.inspect import scratch_text
-    from runledger.sources.text import detect
-
-    lines = {"jsonl": '{"a":1}', "keyvalue": "a=1 b=two", "whitespace": "1 2.5 3", "csv": "a,b", "tsv": "a\tb"}
-    found = []
-    for kind, line in lines.items():
-        more = {"csv": "1,two", "tsv": "1\ttwo"}.get(kind, line)
-        found.append((kind, detect(spark, scratch_text(spark, spark.createDataFrame([(f"{line}\n{more}",)], "value string").coalesce(1), f"detect-{kind}"))))
-    return spark.createDataFrame(found, "format string, detected string")
-
-
 @query("st_stream_equals_batch", f"with {EV} select session_id, count(*) as n, cast(sum(event_id) as double) as total, 0::bigint as differing from ev group by session_id")
 def st_stream_equals_batch(spark, d):
     """Events as text files, captured by a stream and read in one batch: the same records either way."""
@@ -669,3 +728,7 @@ def st_stream_equals_batch(spark, d):
     one = both.groupBy("payload").agg(F.sum("s").alias("d"), F.sum(F.greatest("s", F.lit(0))).alias("c"))
     e = F.get_json_object("payload", "$.event_id").cast("double")
     return one.groupBy(F.get_json_object("payload", "$.event_type").alias("session_id")).agg(F.sum("c").cast("long").alias("n"), F.sum(e).alias("total"), F.sum(F.abs("d")).cast("long").alias("differing"))
+
+
+QUERIES |= user_paths.QUERIES
+ORACLES |= user_paths.ORACLES

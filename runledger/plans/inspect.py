@@ -11,14 +11,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.operators import compare
 from runledger.operators.cells import infer_types
 from runledger.operators.engineering import control_metrics, network_metrics
 from runledger.operators.findings import all_findings, in_order
 from runledger.operators.stats import numeric_summary
 from runledger.operators.timing import timing_metrics
-from runledger.operators.written import shared_dir
+from runledger.operators.written import shared_dir, written
 from runledger.sources.text import cells_from, detect, parse_source, records_of, rejects_of
 
+STATISTICS = ("valid_count", "minimum", "maximum", "mean", "median", "standard_deviation")
 ROLES = ("time", "target", "response", "sequence", "latency", "bytes")
 
 
@@ -81,24 +83,24 @@ def _one(df: DataFrame) -> dict[str, Any]:
 
 def analyse(records: DataFrame, roles: dict[str, str | None], monotonic: Iterable[str] = (), counters: Iterable[str] = ()) -> tuple[dict, dict, dict, list, dict]:
     """Types, metrics, timing, findings and engineering metrics of one session's records."""
-    spark = records.sparkSession
+    spark, n = records.sparkSession, records.count()
     cells = cells_from(records)
     types = {r.field: r.type for r in infer_types(cells).orderBy("field").collect()}
     check_fields([*roles.values(), *monotonic, *counters], types)
-    metrics = {r.field: {k: v for k, v in r.asDict().items() if k not in ("session_id", "field")} for r in numeric_summary(cells, records, sparkline=40).orderBy("field").collect()}
+    metrics = {r.field: {k: v for k, v in r.asDict().items() if k not in ("session_id", "field")} for r in numeric_summary(cells, records, sparkline=40, most_rows=n).orderBy("field").collect()}
     times = series(cells, roles["time"], "t", "t") if roles.get("time") else None
     sequences = series(cells, roles["sequence"], "seq") if roles.get("sequence") else None
-    timing = _one(timing_metrics(times)) if times is not None else {}
+    timing = _one(timing_metrics(times, n)) if times is not None else {}
     sessions = records.select("session_id").limit(1)
-    if records.limit(1).count() == 0:
+    if not n:
         sessions = spark.createDataFrame([("session",)], "session_id string")
-    found = all_findings(sessions, records, cells, times, roles.get("time"), sequences, roles.get("sequence"), monotonic, counters)
+    found = all_findings(sessions, records, cells, times, roles.get("time"), sequences, roles.get("sequence"), monotonic, counters, n)
     quality = [{k: json.loads(v) if k in ("evidence", "threshold") else v for k, v in r.asDict().items() if k not in ("session_id", "n")} for r in in_order(found).collect()]
     engineering = {}
     if roles.get("target"):
         engineering["control"] = _one(control_metrics(by_role(cells, roles)))
     if roles.get("sequence"):
-        engineering["network"] = _one(network_metrics(by_role(cells, roles)))
+        engineering["network"] = _one(network_metrics(by_role(cells, roles), n))
     return types, metrics, timing, quality, engineering
 
 
@@ -118,13 +120,12 @@ def inspect_source(source: str, *, spark: SparkSession | None = None, input_form
         valid, invalid = session.manifest["valid_record_count"], session.manifest["invalid_record_count"]
     else:
         roles, kind = given, input_format or detect(spark, source)
-        parsed = parse_source(spark, source, kind).cache()
-        records, invalid = records_of(parsed), rejects_of(parsed).count()
-        valid = parsed.count() - invalid
+        parsed = parse_source(spark, source, kind)
+        # Written once: every metric and check reads the records from there.
+        records, invalid = written(records_of(parsed), "records"), rejects_of(parsed).count()
+        valid = records.count()
     check_roles(roles)
-    records = records.cache()
     types, metrics, timing, quality, engineering = analyse(records, roles, list(monotonic_fields), list(counter_fields))
-    records.unpersist()
     return Inspection(source, kind, valid + invalid, valid, invalid, types, metrics, timing, quality, engineering, units)
 
 
@@ -153,51 +154,45 @@ def parse_goal(goal: str | None) -> tuple[str | None, bool]:
 
 
 def compare_sessions(sources: list[str], fields: Iterable[str] | None = None, goal: str | None = None, *, spark: SparkSession | None = None) -> Comparison:
-    """Compares two sources or more by the numeric fields that all have."""
+    """Compares two sources or more by the numeric fields that all have; the rules are those of ``operators.compare``."""
     if len(sources) < 2:
         raise ValueError("a comparison needs two sources or more")
     goal_field, lower = parse_goal(goal)
     spark = spark or SparkSession.builder.getOrCreate()
     found = [inspect_source(s, spark=spark) for s in sources]
-    names = [s.rstrip("/").rpartition("/")[2] for s in sources]
-    labels, seen = [], {}
-    for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        labels.append(n if seen[n] == 1 else f"{n}#{seen[n]}")
-    shared = set.intersection(*(set(x.metrics) for x in found))
-    wanted = shared if fields is None else set(fields)
-    if missing := wanted - shared:
-        raise ValueError(f"not a numeric field of every source: {', '.join(sorted(missing))}")
-    warnings: list[str] = []
-    rates = {k: x.timing.get("effective_sample_rate") for k, x in zip(labels, found, strict=True)}
-    known = [r for r in rates.values() if r]
-    rate_ok = not known or max(known) / min(known) <= 1.01
-    if len(known) < len(found):
-        warnings.append("no comparable time field in every source")
-    if not rate_ok:
-        warnings.append("sampling rates differ by more than 1 %")
+    names = [(s.rstrip("/").rpartition("/")[2], n) for n, s in enumerate(sources)]
+    labels = [r.label for r in compare.unique_labels(spark.createDataFrame(names, "label string, position int")).orderBy("position").collect()]
+    stats = [(k, f, *(x.metrics[f][c] for c in STATISTICS)) for k, x in zip(labels, found, strict=True) for f in x.metrics]
+    rows = spark.createDataFrame(stats, f"session_id string, field string, valid_count long, {', '.join(f'{c} double' for c in STATISTICS[1:])}")
+    shared = {r.field for r in compare.shared_fields(rows).collect()}
+    wanted = shared if fields is None else shared & set(fields)
+    warnings = {f"not a numeric field of every source: {f}" for f in set(fields or ()) - shared}
+    if goal_field is None:
+        warnings.add("no goal is given; nothing is called better")
+    elif goal_field not in wanted:
+        warnings.add(f"the goal's field is not shared: {goal_field}")
+    units = spark.createDataFrame([(k, f, x.units.get(f)) for k, x in zip(labels, found, strict=True) for f in x.metrics], "session_id string, field string, unit string")
+    timed = [(k, x.timing.get("start"), x.timing.get("end"), x.timing.get("effective_sample_rate")) for k, x in zip(labels, found, strict=True) if x.timing]
+    times = spark.createDataFrame(timed, "session_id string, start double, end double, effective_sample_rate double")
+    all_timed = len(timed) == len(found)
+    if not all_timed:
+        warnings.add("no comparable time field in every source")
+    judged = compare.compare(rows, labels[0], goal_field, lower, units, times if all_timed else None)
     out: dict[str, dict[str, Any]] = {}
-    for name in sorted(wanted):
-        means = {k: x.metrics[name]["mean"] for k, x in zip(labels, found, strict=True)}
-        counts = {x.metrics[name]["valid_count"] for x in found}
-        units = {x.units.get(name, "") for x in found}
-        comparable = rate_ok and len(units) == 1
-        if len(units) > 1:
-            warnings.append(f"units differ for {name}")
-        if len(counts) > 1:
-            warnings.append(f"numbers of valid values differ for {name}")
-        base, detail = means[labels[0]], {"means": means, "comparable": comparable}
-        if name == goal_field and comparable:
-            if base:
-                detail["improvement_percent"] = {k: (base - v if lower else v - base) / abs(base) * 100 for k, v in means.items()}
-            else:
-                warnings.append(f"no percentage for a zero baseline of {name}")
-        out[name] = detail
-    if goal_field and goal_field not in wanted:
-        warnings.append(f"the goal's field is not shared: {goal_field}")
-    ranges = [(x.timing["start"], x.timing["end"]) for x in found if x.timing.get("start") is not None]
-    timing = {"rates": rates}
-    if len(ranges) == len(found):
-        lo, hi = max(r[0] for r in ranges), min(r[1] for r in ranges)
-        timing |= {"shared_range": [lo, hi] if lo <= hi else None, "shared_relative_range": [0.0, min(b - a for a, b in ranges)]}
-    return Comparison(labels, out, sorted(set(warnings)), {"field": goal_field, "direction": "lower" if lower else "higher"} if goal_field else None, timing)
+    for r in sorted(judged.filter(F.col("field").isin(*wanted)).collect(), key=lambda r: (r.field, labels.index(r.session_id))) if wanted else []:
+        detail = out.setdefault(r.field, {"means": {}, "statistics_by_source": {}, "units": {}, "comparable": r.comparable})
+        source = found[labels.index(r.session_id)]
+        detail["means"][r.session_id], detail["units"][r.session_id] = r.mean, source.units.get(r.field)
+        detail["statistics_by_source"][r.session_id] = {c: source.metrics[r.field][c] for c in STATISTICS}
+        if r.field == goal_field and r.comparable and r.improvement_percent is not None:
+            detail.setdefault("improvement_percent", {})[r.session_id] = r.improvement_percent
+        warnings |= set(r.warnings)
+    timing: dict[str, Any] = {}
+    if all_timed:
+        c = compare.timing_context(times).first()
+        timing = {
+            "rates": {k: rate for k, _, _, rate in timed}, "ranges": {k: [a, b] for k, a, b, _ in timed}, "relative_ranges": {k: [0.0, max(0.0, b - a)] for k, a, b, _ in timed},
+            "shared_range": None if c.shared_start is None else [c.shared_start, c.shared_end], "shared_relative_range": [c.relative_start, c.relative_end],
+        }
+        warnings.add("sources have no time in common" if c.shared_start is None else "time ranges are told, but nothing is resampled")
+    return Comparison(labels, out, sorted(warnings), {"field": goal_field, "direction": "lower" if lower else "higher"} if goal_field else None, timing)

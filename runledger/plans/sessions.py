@@ -7,16 +7,19 @@ folder must be on a file system that driver and executors share and that renames
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import json
 import os
 import shutil
 import sys
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from runledger.sources.text import MAX_LINE_BYTES, cells_from, detect, parse_sou
 
 VERSION = 2
 MANIFEST_BYTES = 1 << 20
+#: Records of one CSV file.
+CSV_ROWS = 1_000_000
 REQUIRED = ("raw", "records", "rejects", "data", "metrics.json", "quality.json", "notes.md")
 KEYS = ("session_format_version", "session_name", "started_at", "ended_at", "input_format", "fields", "record_count", "valid_record_count", "invalid_record_count", "field_roles", "units", "parameters", "hashes")
 
@@ -69,15 +74,48 @@ def sha256_file(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            with open(path, "rb") as f:
+                found.append(hashlib.file_digest(f, "sha256").hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(found, pa.string())], names=["name", "sha"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for source, target in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist(), strict=True):
+            part = f"{target}.{uuid.uuid4().hex}"  # a task that runs twice replaces its own copy
+            shutil.copyfile(source, part)
+            os.replace(part, target)
+        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("path")], names=["name", "sha"])
+
+
+def _by_file(spark: SparkSession, files: list[tuple[str, str]], run) -> list:
+    """``run`` over (path, name) rows, a task a file: files are read as streams, whatever their size."""
+    if not files:
+        return []
+    rows = spark.createDataFrame(files, "path string, name string").repartition(min(len(files), 1000), "path")
+    return rows.mapInArrow(run, "name string, sha string").collect()
+
+
 def hashes(spark: SparkSession, folder: str) -> dict[str, str]:
     """SHA-256 of the session's files: executors hash the data, the driver gets a line a file."""
     found = {n: sha256_file(f"{folder}/{n}") for n in sorted(os.listdir(folder)) if n.endswith((".json", ".md")) and n != "manifest.json"}
-    for n in ("raw", "records", "rejects", "data"):
-        if not os.path.isdir(f"{folder}/{n}") or not any(not x.startswith(("_", ".")) for x in os.listdir(f"{folder}/{n}")):
-            continue
-        files = spark.read.format("binaryFile").load(f"file://{os.path.abspath(folder)}/{n}").select("path", F.sha2("content", 256).alias("sha"))
-        found |= {f"{n}/{r.path.rpartition('/')[2]}": r.sha for r in files.collect()}
-    return found
+    files = [(f"{os.path.abspath(folder)}/{n}/{x}", f"{n}/{x}") for n in ("raw", "records", "rejects", "data") if os.path.isdir(f"{folder}/{n}") for x in sorted(os.listdir(f"{folder}/{n}")) if not x.startswith(("_", "."))]
+    return found | {r.name: r.sha for r in _by_file(spark, files, _digests)}
+
+
+def keep_raw(spark: SparkSession, source: str, folder: str) -> None:
+    """The source's files as they are, byte for byte; of a source that is no local path, its lines."""
+    path = source.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        spark.read.option("lineSep", "\n").text(source).write.option("lineSep", "\n").text(f"file://{folder}")
+        return
+    files = [path] if os.path.isfile(path) else sorted(f for f in glob.glob(f"{path}/**" if os.path.isdir(path) else path, recursive=True) if os.path.isfile(f) and not os.path.basename(f).startswith(("_", ".")))
+    os.makedirs(folder)
+    _by_file(spark, [(os.path.abspath(f), f"{folder}/part-{k:05d}-{os.path.basename(f)}"[:4000]) for k, f in enumerate(files)], _copies)
 
 
 def wide(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -90,12 +128,18 @@ def wide(records: DataFrame, fields: list[str]) -> DataFrame:
     return records.select("record_index", *[shown(n).alias(f"c{k}") for k, n in enumerate(fields)])
 
 
-def write_csv(records: DataFrame, fields: list[str], path: str) -> None:
-    """One CSV with LF line ends and safe header cells; a table of one file is what the format asks for."""
+def write_csv(records: DataFrame, fields: list[str], path: str, most_rows: int = CSV_ROWS) -> None:
+    """CSV with LF line ends and safe header cells: one file, or beyond ``most_rows`` records as many in order, each with the header."""
     from runledger.functions.text import csv_safe
 
-    rows = wide(records, fields).orderBy("record_index").drop("record_index")
-    rows.toDF(*[str(csv_safe(f)) for f in fields]).coalesce(1).write.option("header", True).option("lineSep", "\n").option("quoteAll", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    if not fields:  # no valid record: a file without columns
+        os.makedirs(folder := path.removeprefix("file://"))
+        with open(f"{folder}/part-00000.csv", "w"):
+            return
+    files = max(1, -(-records.count() // most_rows))
+    rows = wide(records, fields)
+    rows = (rows.repartitionByRange(files, "record_index") if files > 1 else rows.coalesce(1)).sortWithinPartitions("record_index").drop("record_index")
+    rows.toDF(*[str(csv_safe(f)) for f in fields]).write.option("header", True).option("lineSep", "\n").option("quoteAll", False).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def _place(options: RecordOptions) -> str:
@@ -144,7 +188,7 @@ def record(spark: SparkSession, source: str, options: RecordOptions) -> Session:
     os.makedirs(stage)
     try:
         uri = f"file://{os.path.abspath(stage)}"
-        spark.read.text(source).write.text(f"{uri}/raw")
+        keep_raw(spark, source, f"{os.path.abspath(stage)}/raw")
         kind = options.input_format or detect(spark, source)
         parsed = parse_source(spark, source, kind, os.path.basename(final), options.max_fields, options.max_line_bytes)
         valid = records_of(parsed)
@@ -277,7 +321,7 @@ def convert(spark: SparkSession, source: str, output: str, to: str, input_format
             names = [r.field for r in cells_from(records).select("field").distinct().orderBy("field").collect()]
             write_csv(records, names, uri)
         else:
-            records.orderBy("record_index").select("original").write.text(uri)
+            records.orderBy("record_index").select("original").write.option("lineSep", "\n").text(uri)
         if os.path.exists(output):
             shutil.rmtree(output) if os.path.isdir(output) else os.remove(output)
         os.rename(part, output)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.operators.ordered import with_index
+from runledger.operators.ordered import positions, with_index
 from runledger.sources.parsers import LINE_FORMATS, MAX_FIELDS, canonical, cell, detect_format, epoch, parse_line, parse_lines
 
 CELL = "struct<field:string,kind:string,text:string,num:double,t:double>"
@@ -92,7 +92,7 @@ def parse_table(lines: DataFrame, kind: str, max_fields: int = MAX_FIELDS) -> Da
 def records_of(parsed: DataFrame) -> DataFrame:
     """Valid records, with record_index from 0 without a gap."""
     kept = parsed.filter("error is null").select("session_id", "ordinal", "payload", "original", "schema_key", "field_count", "cells")
-    return with_index(kept, ["session_id"], ["ordinal"])
+    return positions(kept, ["session_id"], "ordinal", "record_index")
 
 
 def rejects_of(parsed: DataFrame) -> DataFrame:

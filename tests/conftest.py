@@ -18,6 +18,14 @@ def spark():
     yield spark
 
 
+@pytest.fixture(autouse=True)
+def code(request):
+    """Queries run with whole-stage code generation, as users run them. Unit tests of a few rows do without: compiling is most of their time."""
+    if "spark" in request.fixturenames:
+        whole = "queries" in request.module.__name__ or "llm" in str(request.path)
+        request.getfixturevalue("spark").conf.set("spark.sql.codegen.wholeStage", str(whole).lower())
+
+
 @pytest.fixture
 def cells(spark):
     """Cells of one session from field values; None is a null, a missing key an absent field."""

@@ -72,13 +72,65 @@ def test_index_is_gapless(spark):
         assert [x.record_index for x in rows.r] == list(range(len(rows.r)))
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 100])
-def test_percentiles_by_rank(spark, n):
-    r = random.Random(n)
-    df = spark.createDataFrame([("a", r.choice([1.5, 2.0, r.gauss(0, 5)])) for _ in range(n)], "k string, x double")
-    shares = [0.0, 0.05, 0.5, 0.99, 1.0]
-    a, b = (one(percentiles(df, ["k"], "x", shares, most_rows=m)).p for m in (None, 0))
-    assert a == pytest.approx(b, rel=1e-12)
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_percentiles(spark, accuracy):
+    """Whole groups, and groups cut by a coarse sketch: ties, gaps, far outliers and equal values among them."""
+    import numpy as np
+
+    r = random.Random(5)
+    groups = {"one": [1.5], "two": [2.0, -1.0], "five": [1.0, 1.0, 2.0, 9.0, 9.0], "flat": [3.0] * 400, "far": [*(r.gauss(0, 1) for _ in range(700)), 1e300, -1e300], "ties": [float(r.randrange(4)) for _ in range(900)], "even": [float(k) for k in range(1000)], "none": []}
+    df = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v] + [("none", None), ("one", None)], "k string, x double")
+    shares = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+    got = {x.k: x.p for x in percentiles(df.repartition(7), ["k"], "x", shares, accuracy=accuracy).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for k, p in got.items():
+        assert p == pytest.approx(np.quantile(groups[k], shares).tolist(), rel=1e-12), k
+
+
+def test_sums_are_rounded_once(spark, cells):
+    import math
+
+    r = random.Random(1)
+    sets = {"big": [1e16, 1.0, -1e16], "wide": [1e-12, 1e-12, 1e20, -1e20], "mixed": [r.uniform(-1, 1) * 10 ** r.randrange(-200, 200) for _ in range(300)], "tenths": [0.1] * 10, "tiny": [4e-320, 4e-320, -0.0], "huge": [1e308, 1e308, -1e308]}
+    df = spark.createDataFrame([("s", i, k, x) for k, v in sets.items() for i, x in enumerate(v)], "session_id string, record_index long, field string, num double")
+    want = {k: math.fsum(v) for k, v in sets.items() if k != "huge"} | {"huge": 1e308}
+    assert {x.field: x["sum"] for x in numeric_summary(df).collect()} == want
+    assert {x.field: x["sum"] for x in exact_sums(df).collect()} == want
+
+
+def test_summary_over_many_blocks(spark, monkeypatch):
+    """Adjacent values across block edges, and moments joined over blocks."""
+    import statistics
+
+    from runledger.operators import stats
+
+    r = random.Random(3)
+    values = [1e6 + r.gauss(0, 1) if r.random() < 0.8 else None for _ in range(500)]
+    df = spark.createDataFrame([("s", i, "x", v) for i, v in enumerate(values)], "session_id string, record_index long, field string, num double")
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    got, known = one(stats.numeric_summary(df)), [v for v in values if v is not None]
+    steps = [abs(a - b) for a, b in zip(known, known[1:])]
+    assert (got["count"], got.valid_count, got.missing_count) == (500, len(known), 500 - len(known))
+    assert got.mean_absolute_difference == pytest.approx(sum(steps) / len(steps), rel=1e-9) and got.variance == pytest.approx(statistics.variance(known), rel=1e-9)
+    assert got.rate_of_change == known[-1] - known[0] and got.mean == pytest.approx(statistics.fmean(known), rel=1e-14)
+
+
+def test_positions_and_runs_over_blocks(spark):
+    from runledger.operators.ordered import positions
+
+    r = random.Random(8)
+    rows = [(k % 2, o, float(r.randrange(2))) for k, o in enumerate(sorted(r.sample(range(400), 150)))]
+    df = spark.createDataFrame(rows, "k int, o long, x double")
+    for key in (0, 1):
+        own = [(o, x) for k, o, x in rows if k == key]
+        assert [(x.o, x.i) for x in positions(df.repartition(5), ["k"], "o", "i", block=16).filter(f"k = {key}").orderBy("o").collect()] == [(o, i) for i, (o, _) in enumerate(own)]
+        want, start = [], 0
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i][0] != own[i - 1][0] + 1 or own[i][1] != own[i - 1][1]:
+                if i - start > 1:
+                    want.append((own[start][0], own[i - 1][0], i - start))
+                start = i
+        assert sorted((x.start, x.end, x.length) for x in runs(df, ["k"], "o", "x", block=16).filter(f"k = {key}").collect()) == want
 
 
 def test_samples(spark):

@@ -149,8 +149,17 @@ def test_generators(spark):
         a = generate(spark, p, seed=1, noise=0.1).orderBy("record_index").collect()
         assert a == generate(spark, p, seed=1, noise=0.1).repartition(3).orderBy("record_index").collect()
         assert len(a) > 101 if p == "duplicate-samples" else len(a) < 101 if p in ("missing-samples", "packet-loss") else len(a) == 101
-    assert generate(spark, "missing-samples", missing_rate=0).count() == 101
-    assert generate(spark, "duplicate-samples", duplicate_rate=0).count() == 101
+    at = lambda profile, **how: [round(r.timestamp * 10) for r in generate(spark, profile, **how).orderBy("record_index").collect()]
+    whole = list(range(101))
+    assert at("missing-samples", missing_rate=0) == at("duplicate-samples", duplicate_rate=0) == at("sine") == whole
+    assert at("missing-samples", missing_rate=1) == at("packet-loss", missing_rate=1) == [0], "the first record is never dropped"
+    assert at("missing-samples", missing_rate=1e-9) == at("duplicate-samples", duplicate_rate=1e-9) == whole, "only default rates hit the middle for sure"
+    assert at("sine", duplicate_rate=1) == sorted([*whole, *whole[:-1]]), "the record before comes twice: the first can, the last cannot"
+    both = at("packet-loss", seed=4, missing_rate=0.5, duplicate_rate=1)
+    kept = sorted(set(both))
+    assert both == sorted([*kept, *kept[:-1]]) and 20 < len(kept) < 80
+    emptied = [r.value for r in generate(spark, "noisy-sensor", missing_rate=0.5).collect()]
+    assert len(emptied) == 101 and 20 < sum(v is None for v in emptied) < 80
     for bad in ({"sample_rate": 0}, {"noise": -1}, {"missing_rate": 2}, {"duration": 1e12}):
         with pytest.raises(ValueError):
             generate(spark, "sine", **bad)
@@ -159,8 +168,38 @@ def test_generators(spark):
 def test_plot(spark, tmp_path, cells):
     out = str(tmp_path / "p.svg")
     meta = render.plot(cells([{"x": float(i % 7)} for i in range(300)]), ["x"], out, most=50)
-    assert meta["fields"]["x"]["preserved_global_extrema"] and os.path.exists(out + ".meta.json")
+    assert meta["fields"]["x"]["preserved_global_extrema"] and meta["fields"]["x"]["plotted"] <= 50 and os.path.exists(out + ".meta.json")
+    few = cells([{"x": 1.0}, {"x": "none"}, {"x": 2.0}, {}])
     for kind in ("scatter", "step", "histogram"):
-        render.plot(cells([{"x": 1.0}, {"x": 2.0}]), ["x"], out, kind=kind, overwrite=True)
+        meta = render.plot(few, ["x"], out, kind=kind, overwrite=True)
+        assert (meta["fields"]["x"]["original_points"], meta["fields"]["x"]["missing_markers"]) == (3, 0 if kind == "histogram" else 1)
     with pytest.raises(FileExistsError):
-        render.plot(cells([{"x": 1.0}]), ["x"], out)
+        render.plot(few, ["x"], out)
+    for bad in ({"kind": "pie"}, {"most": 1}):
+        with pytest.raises(ValueError):
+            render.plot(few, ["x"], str(tmp_path / "q.svg"), **bad)
+    with pytest.raises(ValueError, match="no number"):
+        render.plot(cells([{"x": "text"}]), ["y"], str(tmp_path / "q.svg"))
+    render.plot(few, ["x"], str(tmp_path / "p.png"))
+    assert (tmp_path / "p.png").read_bytes().startswith(b"\x89PNG")
+
+
+def test_large_sessions_have_several_csv_files(spark, tmp_path):
+    source = write(tmp_path, "a.jsonl", "".join(f'{{"x":{k}}}\n' for k in range(100)))
+    records = records_of(parse_source(spark, source, "jsonl"))
+    sessions.write_csv(records, ["x"], f"file://{tmp_path}/data", most_rows=30)
+    parts = sorted((tmp_path / "data").glob("*.csv"))
+    lines = [x for p in parts for x in p.read_text().splitlines()[1:]]
+    assert len(parts) > 1 and lines == [str(k) for k in range(100)]
+
+
+def test_raw_files_are_kept_byte_for_byte(spark, tmp_path):
+    body = '{"x":1}\r\n{"x":2}\r\n{"x":3}'
+    s = sessions.record(spark, write(tmp_path, "a.jsonl", body), options(tmp_path, input_format="jsonl"))
+    (raw,) = [p for p in (tmp_path / "ws/demo/raw").iterdir() if p.name.startswith("part")]
+    assert raw.read_bytes() == body.encode() and s.manifest["valid_record_count"] == 3 and s.verify(spark) == []
+
+
+def test_a_session_without_a_valid_record(spark, tmp_path):
+    s = sessions.record(spark, write(tmp_path, "a.jsonl", "broken\n"), options(tmp_path, input_format="jsonl"))
+    assert s.manifest["invalid_record_count"] == 1 and s.verify(spark) == []
