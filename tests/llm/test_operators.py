@@ -502,3 +502,25 @@ def test_pipeline(spark, tmp_path):
     assert ids["line_dedup"][202].n_chars == len(ids["line_dedup"][202].text)
     assert set(ids["near_dedup"]) == clean - {200} and set(ids["decontamination"]) == clean - {200, 203}
     assert {x.doc_id for x in c.run(spark, str(tmp_path)).collect()} == clean - {200, 203}
+
+
+def test_near_copies_that_line_dedup_has_emptied(spark, tmp_path):
+    import corpus_pipeline as c
+
+    r = random.Random(9)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(12))
+    base = [line() for _ in range(12)]
+    near = [*base[:-1], line()]
+    far = [*base[:4], *(line() for _ in range(8))]
+    rows = [(1, "\n".join(base)), (2, "\n".join(near)), (3, "\n".join(far)), (4, "\n".join(base)), (5, line()), (None, "\n".join(base)), (6, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = c.line_dedup(spark, docs, str(tmp_path))
+    assert {x.doc_id: x.text for x in left.collect()}[2] == near[-1]
+    kept = c.near_dedup(spark, left, str(tmp_path))
+    assert {x.doc_id for x in kept.collect()} == {1, 3, 5, 6, None} and kept.columns == docs.columns
+    # A document that the table does not have takes part with its own text.
+    more = left.unionByName(spark.createDataFrame([(9, rows[4][1], "en", "s", 0)], docs.schema))
+    assert {x.doc_id for x in c.near_dedup(spark, more, str(tmp_path)).collect()} == {1, 3, 5, 6, None}
+    nothing = docs.filter("false")
+    assert c.near_dedup(spark, nothing, str(tmp_path)).collect() == [] and c.line_dedup(spark, nothing, str(tmp_path)).collect() == []
