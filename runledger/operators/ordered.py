@@ -80,7 +80,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float],
     """(keys, name): exact percentiles with linear interpolation at (n - 1) * share, as an array, of groups of any size.
 
     A sketch of bounded size gives values on either side of each rank. Only values between them are kept, all others are counted;
-    so what is sorted is a few ``accuracy``-ths of a group, and no buffer holds its values. ``most_rows`` is a caller's bound on a group's
+    so what is sorted is a few ``accuracy``-ths of a group, and no buffer holds its values. The sketch is written, a row a group: it depends on
+    the order in which parts of it arrive, and all that is counted must see the same cuts. ``most_rows`` is a caller's bound on a group's
     rows, from a count that it has; up to IN_MEMORY, one pass that holds a group's values does it.
     """
     df = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
@@ -90,7 +91,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float],
     near = [min(1.0, max(0.0, s + d / accuracy)) for s in shares for d in (-4, 4)]
     sketch = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.percentile_approx("_x", near, accuracy).alias("_c"))
     cut = lambda k: F.when(F.col("_n") > accuracy, F.get("_c", F.lit(k))).otherwise(F.col("_lo") if k % 2 == 0 else F.col("_hi"))
-    sketch = sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", *[cut(k).alias(f"_c{k}") for k in range(len(near))])
+    sketch = written(sketch.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", *[cut(k).alias(f"_c{k}") for k in range(len(near))]), "sketch")
     same = [df[k].eqNullSafe(sketch[f"_k_{k}"]) for k in keys]
     on = same[0]
     for c in same[1:]:
