@@ -50,3 +50,14 @@ def records(spark):
         return spark.createDataFrame([(session, i, canonical(r), sorted(r), len(r)) for i, r in enumerate(rows)], "session_id string, record_index long, payload string, schema_key array<string>, field_count int")
 
     return make
+
+
+@pytest.fixture
+def either_sketch(monkeypatch):
+    """As on several executors: a sketch follows the order in which its parts arrive, and comes out as one of two each time. All cuts are right ones."""
+    from pyspark.sql import functions as F
+
+    real = F.percentile_approx
+    either = F.udf(lambda a, b: a if os.urandom(1)[0] < 128 else b, "array<double>").asNondeterministic()
+    wider = lambda near, accuracy: [min(1.0, max(0.0, s + (2 * (k % 2) - 1) * 10 / accuracy)) for k, s in enumerate(near)]
+    monkeypatch.setattr(F, "percentile_approx", lambda x, near, accuracy: either(real(x, near, accuracy), real(x, wider(near, accuracy), accuracy)))

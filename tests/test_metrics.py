@@ -72,13 +72,7 @@ def test_index_is_gapless(spark):
         assert [x.record_index for x in rows.r] == list(range(len(rows.r)))
 
 
-def test_percentiles_of_a_sketch_that_comes_out_otherwise_each_time(spark, monkeypatch):
-    """As on several executors: a sketch follows the order in which its parts arrive. All of its cuts here are right ones."""
-    import os
-
-    real = F.percentile_approx
-    either = F.udf(lambda a, b: a if os.urandom(1)[0] < 128 else b, "array<double>").asNondeterministic()
-    monkeypatch.setattr(F, "percentile_approx", lambda x, near, accuracy: either(real(x, near, accuracy), real(x, [min(1.0, max(0.0, s + (2 * (k % 2) - 1) * 10 / accuracy)) for k, s in enumerate(near)], accuracy)))
+def test_percentiles_of_a_sketch_that_comes_out_otherwise_each_time(spark, either_sketch):
     df = spark.range(40_000).select((F.col("id") % 40).alias("k"), F.floor(F.col("id") / 40).cast("double").alias("x"))
     got = {r.k: r.p for r in percentiles(df, ["k"], "x", [0.25, 0.5, 0.75], accuracy=100).collect()}
     assert got == {k: [249.75, 499.5, 749.25] for k in range(40)}
