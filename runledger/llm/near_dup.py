@@ -2,7 +2,7 @@
 
 Two collections of ``m`` half-keys, each of ``HALF`` minhashes, give m * m table keys by pairing: 2 * m * HALF
 minhashes do the work of 2 * m * m * HALF. Texts of equal sets are one class; of each table bucket only star links
-to its smallest class are formed. Their components are candidates for exact comparison, in which only members
+to its smallest component are formed. Their components are candidates for exact comparison, in which only members
 outside a component's largest cluster are compared to the others, until no link between different texts is left out.
 """
 
@@ -212,18 +212,43 @@ def _against(members: DataFrame, queries: list, k: int, percent: int, kind: str,
     return found
 
 
-def candidate_stars(sketches: DataFrame, m: int, scratch: Scratch) -> DataFrame:
-    """(u, v): star links of classes that share a table key, each to the smallest class of the bucket."""
-    halves = sketches.select("rep", F.posexplode("halves").alias("side", "h"))
-    # Only half-keys that two classes share can pair to a table key that they share.
-    shared = scratch.write(halves.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "shared-halves")
+def _joined(keys: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` (node, label) after components that share a bucket of ``keys`` (comp, bucket) are one, each with its smallest class as the label."""
+    keys = scratch.write(keys.distinct(), f"{name}-keys")
+    buckets = scratch.write(keys.groupBy("bucket").agg(F.min("comp").alias("first"), F.count("*").alias("c")).filter("c > 1").select("bucket", "first"), f"{name}-buckets")
+    stars = keys.join(buckets, "bucket").filter("comp <> first").select(F.col("comp").alias("u"), F.col("first").alias("v")).distinct()
+    found = scratch.write(connected_components(scratch.write(stars, f"{name}-stars"), scratch, name), f"{name}-found")
+    scratch.drop(f"{name}-keys", f"{name}-buckets", f"{name}-stars")
+    if labels is None:
+        return found
+    to = found.select(F.col("node").alias("from"), F.col("label").alias("to"))
+    moved = labels.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.write(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), f"{name}-labels")
+
+
+def candidates(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
+    """(node, label) of classes that table keys put together, as a written table; the label is the smallest class of a component of two or more.
+
+    Near copies share most half-keys, so that each would have nearly all m * m table keys. Half-keys at equal places, a few of
+    them first, put nearly all of these together. Then only half-keys that two components share can pair to a table key that
+    joins these, and a component has a key once.
+    """
+    labels = None
+    for name, places in (("few", range(min(2, m))), ("equal", range(2, m))):
+        if places:
+            held = classes if labels is None else classes.join(labels, F.col("rep") == F.col("node"), "left")
+            comp = F.col("rep") if labels is None else F.coalesce("label", "rep")
+            bucket = F.explode(F.array(*(F.xxhash64(F.col("halves")[t], F.col("halves")[m + t]) for t in places)))
+            labels = _joined(held.select(comp.alias("comp"), bucket.alias("bucket")), labels, scratch, name)
+    held = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.coalesce("label", "rep").alias("comp"), F.explode("halves").alias("h"))
+    shared = scratch.write(held.groupBy("h").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("h"), "shared-halves")
+    halves = classes.select("rep", F.posexplode("halves").alias("side", "h"))
     paired = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") < m, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") >= m, F.col("h"))).alias("b"))
-    table = paired.select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b")).select("rep", F.xxhash64("a", "b").alias("bucket"))
-    table = scratch.write(table, "table")
-    buckets = table.groupBy("bucket").agg(F.min("rep").alias("first"), F.count("*").alias("c")).filter("c > 1").select("bucket", "first")
-    buckets = scratch.write(buckets, "buckets")
-    stars = table.join(buckets, "bucket").filter("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")).distinct()
-    return scratch.write(stars, "stars")
+    paired = scratch.write(paired.filter("size(a) > 0 and size(b) > 0"), "paired")
+    table = paired.join(labels, F.col("rep") == F.col("node"), "left").select(F.coalesce("label", "rep").alias("comp"), F.explode("a").alias("a"), "b").select("comp", "a", F.explode("b").alias("b"))
+    labels = _joined(table.select("comp", F.xxhash64("a", "b").alias("bucket")), labels, scratch, "all")
+    scratch.drop("shared-halves", "paired")
+    return labels
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, task_shingles: int = TASK_SHINGLES, query_shingles: int = QUERY_SHINGLES) -> DataFrame:
@@ -243,8 +268,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     sketched = scratch.write(rows.mapInArrow(_sketch(shingle, m), f"key {kind}, n long, sig binary, halves array<long>"), "sketched")
     known = sketched.filter("sig is not null and key is not null")
     classes = scratch.write(known.groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("halves").alias("halves")), "classes")
-    stars = candidate_stars(classes, m, scratch)
-    coarse = scratch.write(connected_components(stars, scratch, "coarse").join(classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least")), F.col("node") == F.col("rep")).select("node", F.col("label").alias("comp"), "n", "least"), "coarse")
+    coarse = scratch.write(candidates(classes, m, scratch).join(classes.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("least")), F.col("node") == F.col("rep")).select("node", F.col("label").alias("comp"), "n", "least"), "coarse")
     sizes = scratch.write(coarse.groupBy("comp").agg(F.sum("n").alias("size")), "sizes")
     total = sizes.filter(F.col("size") <= task_shingles).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK_SHINGLES))
@@ -260,7 +284,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     labels = scratch.write(connected_components(edges, scratch, "fine"), "labels")
     of_class = classes.join(labels, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("label", "rep").alias("comp"))
     of_class = scratch.write(of_class, "of-class")
-    scratch.drop("shared-halves", "table", "buckets", "stars", "members", "sizes", "coarse", "links")
+    scratch.drop("members", "sizes", "coarse", "links")
     out = sketched.select("key", "n", "sig").join(of_class, "sig", "left")
     comp = F.when(F.col("key").isNotNull(), F.coalesce("comp", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("key") == comp, F.lit(True)).alias("kept"))

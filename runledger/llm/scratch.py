@@ -11,6 +11,10 @@ from pyspark.sql.types import StructField, StructType
 from runledger.operators.written import delete, gone_at_exit, shared_dir
 
 
+#: Spark removes a query's shuffle files when the query has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """A folder of one job's intermediate Parquet tables.
 
@@ -23,8 +27,12 @@ class Scratch:
         gone_at_exit(spark, self.dir)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.dir}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, was = f"{self.dir}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # what is written is read from its table from now on
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

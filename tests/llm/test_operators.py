@@ -237,6 +237,25 @@ def test_near_duplicates(spark, large):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_near_copies_do_not_write_all_pairs_of_half_keys(spark, monkeypatch):
+    from runledger.llm.near_dup import candidates, half_keys
+    from runledger.llm.scratch import Scratch
+
+    sizes, write = [], Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    m = half_keys(0.8)
+    copies = [(k, [k if t == k % (2 * m) else t + 1000 for t in range(2 * m)]) for k in range(40)]  # each differs from the others in one half-key
+    classes = spark.createDataFrame(copies, "rep long, halves array<long>")
+    assert {(x.node, x.label) for x in candidates(classes, m, Scratch(spark, "few")).collect()} == {(k, 0) for k in range(40)}
+    assert max(sizes) <= 40 * 2 * m
+
+
 def test_near_duplicates_odd(odd, none):
     from runledger.llm.near_dup import drop_near_duplicates, near_duplicates
 
