@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.components import connected_components
@@ -24,6 +24,8 @@ from runledger.llm.scratch import Scratch, aliased, col, names, restored
 HALF = 3
 #: Most probability of missing a pair exactly at the threshold in all tables.
 MISS = 2.5e-5
+#: Most classes of a component whose half-keys pair at unequal places before those of all its classes do.
+PILOTS = 32
 #: Shingles of a component compared within one task, and of a task's components together; larger ones are compared by all tasks.
 TASK_SHINGLES = 400_000
 CHUNK_SHINGLES = 2_000_000
@@ -226,12 +228,35 @@ def _joined(keys: DataFrame, labels: DataFrame | None, scratch: Scratch, name: s
     return scratch.write(moved.unionByName(found.join(labels.select("node"), "node", "left_anti")), f"{name}-labels")
 
 
+def _pairable(halves: DataFrame, labels: DataFrame, m: int, scratch: Scratch, name: str) -> DataFrame:
+    """(rep, comp, a, b) of classes with half-keys on both sides that other components have too, as a written table; a and b hold these (side, h)."""
+    to = labels.select(F.col("node").alias("rep"), "label")
+    held = halves.join(to, "rep", "left").select(F.coalesce("label", "rep").alias("comp"), "h")
+    shared = scratch.write(held.groupBy("h").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("h"), f"{name}-shared")
+    one = F.struct("side", "h")
+    paired = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") < m, one)).alias("a"), F.collect_list(F.when(F.col("side") >= m, one)).alias("b"))
+    paired = scratch.write(paired.filter("size(a) > 0 and size(b) > 0").join(to, "rep", "left").select("rep", F.coalesce("label", "rep").alias("comp"), "a", "b"), f"{name}-paired")
+    scratch.drop(f"{name}-shared")
+    return paired
+
+
+def _table_keys(m: int, low: int, high: int) -> Column:
+    """The keys of half-keys in ``a`` with those in ``b`` that are ``low`` to ``high`` - 1 places on, a row each."""
+
+    def of(x: Column) -> Column:
+        return F.transform(F.filter("b", lambda y: F.pmod(y["side"] - x["side"], F.lit(m)).between(low, high - 1)), lambda y: F.xxhash64(x["h"], y["h"]))
+
+    return F.explode(F.flatten(F.transform("a", of)))
+
+
 def candidates(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
     """(node, label) of classes that table keys put together, as a written table; the label is the smallest class of a component of two or more.
 
     Near copies share most half-keys, so that each would have nearly all m * m table keys. Half-keys at equal places, a few of
-    them first, put nearly all of these together. Then only half-keys that two components share can pair to a table key that
-    joins these, and a component has a key once.
+    them first, put nearly all of these together. Then pairs of half-keys at unequal places are keys: of at most ``PILOTS`` classes
+    of a component first, which draw in nearly all others that share any with it, then of all classes, those up to m / 4 places on
+    before the rest. Each turn takes only half-keys that two components still share, of classes with such on both sides; all
+    others can pair to no table key that joins components. A component has a key once.
     """
     labels = None
     for name, places in (("few", range(min(2, m))), ("equal", range(2, m))):
@@ -240,14 +265,17 @@ def candidates(classes: DataFrame, m: int, scratch: Scratch) -> DataFrame:
             comp = F.col("rep") if labels is None else F.coalesce("label", "rep")
             bucket = F.explode(F.array(*(F.xxhash64(F.col("halves")[t], F.col("halves")[m + t]) for t in places)))
             labels = _joined(held.select(comp.alias("comp"), bucket.alias("bucket")), labels, scratch, name)
-    held = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.coalesce("label", "rep").alias("comp"), F.explode("halves").alias("h"))
-    shared = scratch.write(held.groupBy("h").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("h"), "shared-halves")
-    halves = classes.select("rep", F.posexplode("halves").alias("side", "h"))
-    paired = halves.join(shared, "h").groupBy("rep").agg(F.collect_list(F.when(F.col("side") < m, F.col("h"))).alias("a"), F.collect_list(F.when(F.col("side") >= m, F.col("h"))).alias("b"))
-    paired = scratch.write(paired.filter("size(a) > 0 and size(b) > 0"), "paired")
-    table = paired.join(labels, F.col("rep") == F.col("node"), "left").select(F.coalesce("label", "rep").alias("comp"), F.explode("a").alias("a"), "b").select("comp", "a", F.explode("b").alias("b"))
-    labels = _joined(table.select("comp", F.xxhash64("a", "b").alias("bucket")), labels, scratch, "all")
-    scratch.drop("shared-halves", "paired")
+    pilots = labels.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(PILOTS))).agg(F.min("node").alias("node")).select("node")
+    wait = scratch.write(labels.select("node").join(pilots, "node", "left_anti"), "wait")
+    every = F.posexplode("halves").alias("side", "h")
+    held, near = classes.join(wait, F.col("rep") == F.col("node"), "left_anti").select("rep", every), max(2, m // 4)
+    for name, low, high in (("pilots", 1, m), ("near", 1, min(near, m)), ("far", near, m)):
+        if low >= high:
+            break
+        paired = _pairable(held, labels, m, scratch, name)
+        labels = _joined(paired.select("comp", _table_keys(m, low, high).alias("bucket")), labels, scratch, name)
+        held = classes.select("rep", every) if name == "pilots" else paired.select("rep", F.explode(F.concat("a", "b")).alias("x")).select("rep", "x.side", "x.h")
+    scratch.drop("wait", "pilots-paired", "near-paired", "far-paired")
     return labels
 
 

@@ -256,6 +256,49 @@ def test_near_copies_do_not_write_all_pairs_of_half_keys(spark, monkeypatch):
     assert max(sizes) <= 40 * 2 * m
 
 
+def test_few_stragglers_do_not_make_all_pairs_of_a_large_group(spark, monkeypatch):
+    from runledger.llm import near_dup
+    from runledger.llm.scratch import Scratch
+
+    made, joined = [], near_dup._joined
+
+    def counted(keys, *more):
+        made.append(keys.count())
+        return joined(keys, *more)
+
+    monkeypatch.setattr(near_dup, "_joined", counted)
+    m = near_dup.half_keys(0.8)
+    copies = [(k, [k if t == k % (2 * m) else t + 10000 for t in range(2 * m)]) for k in range(1000)]
+    # Each shares half of the group's half-keys on either side, none of them at equal places.
+    stray = [(k, [t + 10000 if (t + t // m) % 2 == k % 2 else t + 10000 * k for t in range(2 * m)]) for k in (2000, 2001)]
+    classes = spark.createDataFrame(copies + stray, "rep long, halves array<long>")
+    got = near_dup.candidates(classes, m, Scratch(spark, "stragglers"))
+    assert {(x.node, x.label) for x in got.collect()} == {(k, 0) for k, _ in copies + stray}
+    assert sum(made) <= 2 * m * len(copies + stray)  # not m * m
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 5, 8])
+def test_candidates_are_those_of_all_pairs_of_half_keys(spark, m):
+    import random
+
+    from runledger.llm.near_dup import Forest, candidates
+    from runledger.llm.scratch import Scratch
+
+    draw = random.Random(m)
+    rows = [(k, [1000 * t + draw.randrange(8 * m) for t in range(2 * m)]) for k in range(60)]
+    forest, first = Forest(len(rows)), {}
+    for k, h in rows:
+        for a in h[:m]:
+            for b in h[m:]:
+                forest.join(first.setdefault((a, b), k), k)
+    want = {}
+    for k, _ in rows:
+        want.setdefault(forest.root(k), []).append(k)
+    got = candidates(spark.createDataFrame(rows, "rep long, halves array<long>"), m, Scratch(spark, "all-pairs")).collect()
+    assert sorted((x.node, x.label) for x in got) == sorted((k, min(c)) for c in want.values() if len(c) > 1 for k in c)
+    assert 1 < len(want) < len(rows)
+
+
 def test_near_duplicates_odd(odd, none):
     from runledger.llm.near_dup import drop_near_duplicates, near_duplicates
 
